@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from verification import core_queries  # noqa: F401
+from verification import core_queries, scalar_queries  # noqa: F401
 from verification.registry import ORACLE, QUERIES  # noqa: F401

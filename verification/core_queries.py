@@ -13,16 +13,22 @@ from wardlight.operators import baselines as B
 from wardlight.operators import features as FE
 from wardlight.operators import ranking as R
 from wardlight.operators import risk as K
+from wardlight.session import materialize
 
 
 def matrix(spark, sf):
     return FE.feature_matrix(unified_events(spark, sf))
 
 
+def profiles(spark, m):
+    """Blended profiles; the merged moments are written once and read twice."""
+    mom = materialize(spark, B.moments(m), "moments")
+    return B.blended_profiles(B.user_baselines(mom), B.source_stats(mom), FE.feature_columns(m))
+
+
 def scored(spark, sf):
     m = matrix(spark, sf)
-    profiles = B.blended_profiles(B.user_baselines(m), B.source_stats(m), FE.feature_columns(m))
-    return B.score_events(m, profiles)
+    return B.score_events(m, profiles(spark, m))
 
 
 def daily(spark, sf):
@@ -66,7 +72,7 @@ _ub_cols = ", ".join(
 @query("a1_user_baselines", S.BASE + "SELECT username, source, labeled_anomaly_count, event_count, "
        f"{_ub_cols} FROM ub")
 def a1(spark, sf):
-    b = B.user_baselines(matrix(spark, sf))
+    b = B.user_baselines(B.moments(matrix(spark, sf)))
     stats = [c for c in b.columns if c.endswith(("_mean", "_std", "_share"))]
     return b.select("username", "source", "labeled_anomaly_count", "event_count", *r6(*stats))
 
@@ -76,7 +82,7 @@ def a1(spark, sf):
        + ", ".join(f"round(p_{f}, 6) AS {f}_mean, round(ps_{f}, 6) AS {f}_std" for f in S.FEATURES)
        + " FROM ss")
 def a2(spark, sf):
-    s = B.source_stats(matrix(spark, sf))
+    s = B.source_stats(B.moments(matrix(spark, sf)))
     stats = [c for c in s.columns if c.endswith(("_mean", "_std"))]
     return s.select("source", "n_total_events", "n_normal_events", "n_users",
                     *r6("anomaly_rate", *stats))
@@ -86,7 +92,7 @@ def a2(spark, sf):
        + " UNION ALL ".join(f"SELECT source, '{f}' AS feature, ps_{f} AS s FROM ss" for f in S.FEATURES)
        + ") WHERE s = 0")
 def a2z(spark, sf):
-    return B.zero_variance_columns(B.source_stats(matrix(spark, sf)))
+    return B.zero_variance_columns(B.source_stats(B.moments(matrix(spark, sf))))
 
 
 _d = [f"et_{t}" for t in fv.INDICATOR_EVENT_TYPES]
@@ -113,7 +119,7 @@ def a3(spark, sf):
        + " FROM fm JOIN ub ON fm._username = ub.username JOIN ss ON fm._source = ss.source")
 def m1(spark, sf):
     m = matrix(spark, sf)
-    p = B.blended_profiles(B.user_baselines(m), B.source_stats(m), FE.feature_columns(m))
+    p = profiles(spark, m)
     return p.select("_username", "_source", *r6(*[c for c in p.columns if c[:2] in ("m_", "s_")]))
 
 
@@ -122,7 +128,7 @@ def m1(spark, sf):
 def m2(spark, sf):
     m = matrix(spark, sf)
     features = FE.feature_columns(m)
-    p = B.blended_profiles(B.user_baselines(m), B.source_stats(m), features)
+    p = profiles(spark, m)
     return B.with_deviations(m, p, features).select("event_id", *r6(*[f"d_{f}" for f in features]))
 
 
@@ -140,7 +146,7 @@ def m3(spark, sf):
 def w2(spark, sf):
     m = matrix(spark, sf)
     features = FE.feature_columns(m)
-    p = B.blended_profiles(B.user_baselines(m), B.source_stats(m), features)
+    p = profiles(spark, m)
     devs = B.with_deviations(m, p, features)
     # Values equal but for the last bits count as ties, as in the SQL.
     even = devs.select("event_id", *[F.round(f"d_{f}", 9).alias(f"d_{f}") for f in features])
@@ -154,7 +160,8 @@ def w2(spark, sf):
        "FROM fm LEFT JOIN ub ON fm._username = ub.username LEFT JOIN ss ON fm._source = ss.source")
 def j3(spark, sf):
     m = matrix(spark, sf)
-    users, stats = B.user_baselines(m), B.source_stats(m)
+    mom = materialize(spark, B.moments(m), "moments")
+    users, stats = B.user_baselines(mom), B.source_stats(mom)
     return (m.select("event_id", "_username", "_source")
             .join(users.select(F.col("username").alias("_username"), "event_count",
                                F.round("hour_mean", 6).alias("hour_user")), "_username", "left")

@@ -64,7 +64,7 @@ _ub = ",\n  ".join(
        if not f.startswith("et_") else "")
     for f in FEATURES)
 UB = f"""ub AS (
-SELECT _username AS username, min_by(_source, event_id) AS source,
+SELECT _username AS username, min_by(_source, ts) AS source,
   CAST(sum(_label) AS BIGINT) AS labeled_anomaly_count,
   count(*) FILTER (WHERE _label = 0) AS event_count, {_ub}
 FROM fm GROUP BY _username)"""

@@ -1,8 +1,9 @@
-"""Mean/deviation baselines per user and source, and event scores against them."""
+"""Mean/deviation baselines per user and source, and event scores against them.
 
-from __future__ import annotations
+The wide column lists are written as SQL expressions: one short text per column.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,91 +11,95 @@ from pyspark.sql import functions as F
 from wardlight import fixed_values as fv
 from wardlight.operators.features import feature_columns
 
-ADD = lambda cols: reduce(lambda a, b: a + b, cols)
+_MOMENT_KEYS = ("_username", "_source")
 
 
 def moments(matrix: DataFrame) -> DataFrame:
     """Mergeable statistics of normal rows per (user, source): count, mean, variance.
 
-    Both baselines below merge these small rows, so the matrix is read once for
-    the two of them and the (user, source) exchange is shared.
+    Both baselines merge these small rows, so writing them once (see
+    ``session.materialize``) makes one read of the matrix serve the two.
+    Only fixed-width values are aggregated, which keeps the hash aggregate.
     """
-    normal = F.col("_label") == 0
-    aggregates = [F.count(F.lit(1)).alias("n_rows"), F.sum("_label").alias("n_labeled"),
-                  F.count_if(normal).alias("n"), F.min("event_id").alias("first_id")]
+    aggregates = ["count(1) AS n_rows", "sum(_label) AS n_labeled", "count_if(_label = 0) AS n",
+                  "min(unix_micros(ts)) AS first_us"]
     for f in feature_columns(matrix):
-        kept = F.when(normal, F.col(f).cast("double"))
-        aggregates += [F.avg(kept).alias(f"a_{f}"), F.var_pop(kept).alias(f"v_{f}")]
+        kept = f"CASE WHEN _label = 0 THEN CAST({f} AS DOUBLE) END"
+        aggregates += [f"avg({kept}) AS a_{f}", f"var_pop({kept}) AS v_{f}"]
         if f.endswith("_log"):
-            aggregates += [F.min(kept).alias(f"lo_{f}"), F.max(kept).alias(f"hi_{f}")]
-    return matrix.groupBy("_username", "_source").agg(*aggregates)
+            aggregates += [f"min({kept}) AS lo_{f}", f"max({kept}) AS hi_{f}"]
+    return matrix.groupBy(*_MOMENT_KEYS).agg(*map(F.expr, aggregates))
+
+
+def _features_of(mom: DataFrame) -> list[str]:
+    return [c[2:] for c in mom.columns if c.startswith("a_")]
 
 
 def _merged(features: list[str]):
     """Aggregates that merge means and second moments of each feature."""
     out = []
     for f in features:
-        out += [F.sum(F.col("n") * F.col(f"a_{f}")).alias(f"s1_{f}"),
-                F.sum(F.col("n") * (F.col(f"v_{f}") + F.col(f"a_{f}") * F.col(f"a_{f}"))).alias(f"s2_{f}")]
+        out += [f"sum(n * a_{f}) AS s1_{f}", f"sum(n * (v_{f} + a_{f} * a_{f})) AS s2_{f}"]
         if f.endswith("_log"):
-            out += [F.min(f"lo_{f}").alias(f"lo_{f}"), F.max(f"hi_{f}").alias(f"hi_{f}")]
-    return out
+            out += [f"min(lo_{f}) AS lo_{f}", f"max(hi_{f}) AS hi_{f}"]
+    return map(F.expr, out)
 
 
-def _mean_std(f: str, n: str):
-    """(mean, sample deviation) from merged moments; equal values give exactly 0."""
-    count = F.col(n).cast("double")
-    mean = F.col(f"s1_{f}") / F.nullif(count, F.lit(0.0))
-    spread = F.greatest(F.col(f"s2_{f}") - count * mean * mean, F.lit(0.0))
-    std = F.when(count > 1, F.sqrt(spread / (count - 1)))
-    if f.endswith("_log"):
-        std = F.when((count > 1) & (F.col(f"lo_{f}") == F.col(f"hi_{f}")), 0.0).otherwise(std)
-    return mean, std
+def _mean(f: str, n: str) -> str:
+    return f"s1_{f} / nullif({n}, 0)"
 
 
-def user_baselines(matrix: DataFrame) -> DataFrame:
-    """Per user, mean and deviation of normal rows only.
+def _std(f: str, n: str) -> str:
+    """Sample deviation from merged moments; equal values give exactly 0."""
+    spread = f"greatest(s2_{f} - s1_{f} * s1_{f} / {n}, 0D)"
+    flat = f"WHEN {n} > 1 AND lo_{f} = hi_{f} THEN 0D " if f.endswith("_log") else ""
+    return f"CASE {flat}WHEN {n} > 1 THEN sqrt({spread} / ({n} - 1)) END"
+
+
+def user_baselines(mom: DataFrame) -> DataFrame:
+    """Per user, mean and deviation of normal rows only, from moments.
 
     Users without a normal row stay, with NULL means, zero deviation and
     event_count 0. ``sources`` lists the sources of the user (a handful).
     """
-    features = feature_columns(matrix)
-    grouped = moments(matrix).groupBy(F.col("_username").alias("username")).agg(
-        F.min_by("_source", "first_id").alias("source"), F.collect_set("_source").alias("sources"),
+    features = _features_of(mom)
+    grouped = mom.groupBy(F.col("_username").alias("username")).agg(
+        F.min_by("_source", "first_us").alias("source"), F.collect_set("_source").alias("sources"),
         F.sum("n_labeled").alias("labeled_anomaly_count"), F.sum("n").alias("event_count"),
         *_merged(features))
     stats = []
     for f in features:
-        mean, std = _mean_std(f, "event_count")
         if f.startswith("et_"):
-            stats.append(mean.alias(f"{f}_share"))
+            stats.append(f"{_mean(f, 'event_count')} AS {f}_share")
         else:
-            stats += [mean.alias(f"{f}_mean"), F.coalesce(std, F.lit(0.0)).alias(f"{f}_std")]
-    return grouped.select("username", "source", "sources", "labeled_anomaly_count", "event_count", *stats)
+            stats += [f"{_mean(f, 'event_count')} AS {f}_mean",
+                      f"coalesce({_std(f, 'event_count')}, 0D) AS {f}_std"]
+    return grouped.selectExpr("username", "source", "sources", "labeled_anomaly_count",
+                              "event_count", *stats)
 
 
-def source_stats(matrix: DataFrame) -> DataFrame:
+def source_stats(mom: DataFrame) -> DataFrame:
     """A2: per source, statistics of normal rows, totals, users and anomaly rate.
 
     Users are counted from the (user, source) rows, without a distinct step.
     """
-    features = feature_columns(matrix)
-    grouped = moments(matrix).groupBy(F.col("_source").alias("source")).agg(
+    features = _features_of(mom)
+    grouped = mom.groupBy(F.col("_source").alias("source")).agg(
         F.sum("n_rows").alias("n_total_events"), F.sum("n").alias("n_normal_events"),
         F.count_if(F.col("n") > 0).alias("n_users"), F.sum("n_labeled").alias("_bad"), *_merged(features))
     stats = []
     for f in features:
-        mean, std = _mean_std(f, "n_normal_events")
-        stats += [mean.alias(f"{f}_mean"), std.alias(f"{f}_std")]
-    return grouped.select("source", "n_total_events", "n_normal_events", "n_users",
-                          (F.col("_bad") / F.col("n_total_events")).alias("anomaly_rate"), *stats)
+        stats += [f"{_mean(f, 'n_normal_events')} AS {f}_mean",
+                  f"{_std(f, 'n_normal_events')} AS {f}_std"]
+    return grouped.selectExpr("source", "n_total_events", "n_normal_events", "n_users",
+                              "_bad / n_total_events AS anomaly_rate", *stats)
 
 
 def zero_variance_columns(stats: DataFrame) -> DataFrame:
     """A2: (source, feature) pairs whose deviation is zero."""
     names = [c[:-4] for c in stats.columns if c.endswith("_std")]
-    flags = F.array_compact(F.array(*[F.when(F.col(f"{n}_std") == 0, F.lit(n)) for n in names]))
-    return stats.select("source", F.explode(flags).alias("feature"))
+    flags = ", ".join(f"CASE WHEN {n}_std = 0 THEN '{n}' END" for n in names)
+    return stats.selectExpr("source", f"explode(array_compact(array({flags}))) AS feature")
 
 
 def blended_profiles(users: DataFrame, stats: DataFrame, features: list[str],
@@ -104,74 +109,66 @@ def blended_profiles(users: DataFrame, stats: DataFrame, features: list[str],
     Blending runs on one row per user instead of one per event. A feature whose
     source mean is the sentinel gets a NULL mean: it does not apply there.
     """
-    w = F.col("event_count") / (F.col("event_count") + F.lit(shrinkage_k))
-    own = users.select(F.col("username").alias("_username"),
-                       F.explode("sources").alias("_source"), w.alias("_w"),
-                       *[F.col(f"{f}_share" if f.startswith("et_") else f"{f}_mean").alias(f"u_{f}")
-                         for f in features],
-                       *[F.col(f"{f}_std").alias(f"us_{f}") for f in features
-                         if f in fv.CONTINUOUS_FEATURES])
-    peers = stats.select(F.col("source").alias("_source"),
-                         *[F.col(f"{f}_mean").alias(f"p_{f}") for f in features],
-                         *[F.col(f"{f}_std").alias(f"ps_{f}") for f in features
-                           if f in fv.CONTINUOUS_FEATURES])
+    continuous = [f for f in features if f in fv.CONTINUOUS_FEATURES]
+    own = users.selectExpr(
+        "username AS _username", "explode(sources) AS _source",
+        f"event_count / (event_count + {float(shrinkage_k)}D) AS _w",
+        *[f"{f}_share AS u_{f}" if f.startswith("et_") else f"{f}_mean AS u_{f}" for f in features],
+        *[f"{f}_std AS us_{f}" for f in continuous])
+    peers = stats.selectExpr("source AS _source", *[f"{f}_mean AS p_{f}" for f in features],
+                             *[f"{f}_std AS ps_{f}" for f in continuous])
 
     def blend(mine, theirs):
-        return F.col("_w") * F.coalesce(F.col(mine), F.col(theirs)) + (1 - F.col("_w")) * F.col(theirs)
+        return f"(_w * coalesce({mine}, {theirs}) + (1 - _w) * {theirs})"
 
-    return own.join(peers, "_source", "left").select(
-        "_username", "_source",
-        *[F.when(F.col(f"p_{f}") != fv.SENTINEL, blend(f"u_{f}", f"p_{f}")).alias(f"m_{f}")
+    return own.join(peers, "_source", "left").selectExpr(
+        *_MOMENT_KEYS,
+        *[f"CASE WHEN p_{f} <> {fv.SENTINEL} THEN {blend(f'u_{f}', f'p_{f}')} END AS m_{f}"
           for f in features],
-        *[blend(f"us_{f}", f"ps_{f}").alias(f"s_{f}") for f in features
-          if f in fv.CONTINUOUS_FEATURES])
+        *[f"{blend(f'us_{f}', f'ps_{f}')} AS s_{f}" for f in continuous])
 
 
-def deviation(feature: str):
+def deviation(feature: str) -> str:
     """M2: distance of a feature from its blended baseline, 0..1 or NULL."""
-    value, mean = F.col(feature).cast("double"), F.col(f"m_{feature}")
-    gap = F.abs(value - mean)
+    gap = f"abs({feature} - m_{feature})"
     if feature in fv.CONTINUOUS_FEATURES:
-        std = F.col(f"s_{feature}")
-        scaled = (F.when(std < fv.ZERO_VARIANCE,
-                         F.when(gap < fv.ZERO_VARIANCE, 0.0).otherwise(fv.Z_CLIP))
-                  .otherwise(F.least(gap / std, F.lit(fv.Z_CLIP)))) / fv.Z_CLIP
-        result = F.when(gap.isNotNull() & std.isNotNull(), scaled)
+        std, tiny, clip = f"s_{feature}", f"{fv.ZERO_VARIANCE}D", f"{fv.Z_CLIP}D"
+        body = (f"CASE WHEN {std} < {tiny} THEN CASE WHEN {gap} < {tiny} THEN 0D WHEN {gap} >= {tiny} THEN 1D END "
+                f"ELSE CASE WHEN {gap} / {std} > {clip} THEN 1D ELSE {gap} / {std} / {clip} END END")
     else:
-        result = F.least(gap, F.lit(1.0))
-    return F.when(value != fv.SENTINEL, result)
+        body = f"CASE WHEN {gap} > 1 THEN 1D ELSE {gap} END"
+    return f"CASE WHEN {feature} <> {fv.SENTINEL} THEN {body} END"
 
 
 def with_deviations(matrix: DataFrame, profiles: DataFrame, features: list[str]) -> DataFrame:
     """M2: matrix with one ``d_<feature>`` column per feature."""
-    joined = matrix.join(profiles, ["_username", "_source"], "left")
-    return joined.select(*matrix.columns, *[deviation(f).alias(f"d_{f}") for f in features])
+    joined = matrix.join(profiles, list(_MOMENT_KEYS), "left")
+    return joined.selectExpr(*matrix.columns, *[f"{deviation(f)} AS d_{f}" for f in features])
 
 
 def top_contributors(features: list[str], k: int = 5):
     """The k largest deviations above zero; ties keep the column order."""
-    entries = F.array(*[
-        F.when(F.col(f"d_{f}") > 0,
-               F.struct((-F.col(f"d_{f}")).alias("neg"), F.lit(i).alias("ord"), F.lit(f).alias("feature")))
-        for i, f in enumerate(features)])
-    ranked = F.slice(F.sort_array(F.array_compact(entries)), 1, k)
-    return F.transform(ranked, lambda x: F.struct(
-        x["feature"].alias("feature"), F.bround(-x["neg"], 3).alias("deviation")))
+    entries = ", ".join(
+        f"CASE WHEN d_{f} > 0 THEN named_struct('neg', -d_{f}, 'ord', {i}, 'feature', '{f}') END"
+        for i, f in enumerate(features))
+    return F.expr(
+        f"transform(slice(sort_array(array_compact(array({entries}))), 1, {k}), "
+        "x -> named_struct('feature', x.feature, 'deviation', bround(-x.neg, 3)))")
 
 
-def render_contributors(contributors):
+def render_contributors(contributors: str):
     """``feature=value; ...`` text of a contributor array."""
-    return F.array_join(F.transform(contributors, lambda x: F.concat(
-        x["feature"], F.lit("="), x["deviation"].cast("string"))), "; ")
+    return F.expr(f"array_join(transform({contributors}, "
+                  "x -> concat(x.feature, '=', CAST(x.deviation AS STRING))), '; ')")
 
 
 def score_events(matrix: DataFrame, profiles: DataFrame, k: int = 5) -> DataFrame:
     """M3: mean of the deviations that apply (0 if none) and the top contributors."""
     features = feature_columns(matrix)
     devs = with_deviations(matrix, profiles, features)
-    total = ADD([F.coalesce(F.col(f"d_{f}"), F.lit(0.0)) for f in features])
-    used = ADD([F.col(f"d_{f}").isNotNull().cast("int") for f in features])
+    total = " + ".join(f"coalesce(d_{f}, 0D)" for f in features)
+    used = " + ".join(f"CAST(d_{f} IS NOT NULL AS INT)" for f in features)
     return devs.select(
         *matrix.columns,
-        F.when(used > 0, total / used).otherwise(0.0).alias("anomaly_score"),
+        F.expr(f"coalesce(({total}) / nullif({used}, 0), 0D)").alias("anomaly_score"),
         top_contributors(features, k).alias("contributors"))

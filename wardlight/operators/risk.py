@@ -30,7 +30,7 @@ def daily_risk_inputs(scores: DataFrame) -> DataFrame:
         *DAY, "daily_max_score", "daily_mean_score", "daily_event_count",
         "daily_labeled_anomaly_count", F.col("_driver.event_id").alias("driver_event_id"),
         F.col("_driver.contributors").alias("contributors"),
-        render_contributors(F.col("_driver.contributors")).alias("top_contributors"),
+        render_contributors("_driver.contributors").alias("top_contributors"),
         F.col("_driver.shadow_it_category").alias("shadow_it_category"),
         F.col("_driver.cert_signal").alias("cert_signal"))
 
