@@ -1,4 +1,10 @@
 """Importing this module registers every query."""
 
-from verification import core_queries, scalar_queries  # noqa: F401
+from verification import (  # noqa: F401
+    alert_queries,
+    behaviour_queries,
+    core_queries,
+    evaluation_queries,
+    scalar_queries,
+)
 from verification.registry import ORACLE, QUERIES  # noqa: F401

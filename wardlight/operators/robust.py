@@ -10,7 +10,8 @@ from wardlight.functions.text import catalogue_key, domain_token
 from wardlight.operators.ranking import median_by
 
 # SQL over a sorted array of numbers, and over sorted cells struct(v, n).
-_MEDIAN = ("(element_at({a}, (size({a}) + 1) DIV 2) + element_at({a}, size({a}) DIV 2 + 1)) / 2D")
+_MEDIAN = ("(element_at({a}, CAST((size({a}) + 1) DIV 2 AS INT)) + "
+           "element_at({a}, CAST(size({a}) DIV 2 + 1 AS INT))) / 2D")
 _AT = ("aggregate({c}, named_struct('seen', 0L, 'v', CAST(NULL AS DOUBLE)), (acc, x) -> named_struct("
        "'seen', acc.seen + x.n, 'v', CASE WHEN acc.v IS NULL AND {p} < acc.seen + x.n THEN "
        "CAST(x.v AS DOUBLE) ELSE acc.v END), acc -> acc.v)")
