@@ -6,5 +6,6 @@ from verification import (  # noqa: F401
     core_queries,
     evaluation_queries,
     scalar_queries,
+    source_queries,
 )
 from verification.registry import ORACLE, QUERIES  # noqa: F401

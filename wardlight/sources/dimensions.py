@@ -11,7 +11,7 @@ from wardlight.schemas import CATALOGUE
 
 def application_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """One JSON array of applications; ``ord`` is the list position."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     items = text.select(F.posexplode(F.from_json("value", f"array<struct<{CATALOGUE.replace(' ', ':').replace(',:', ',')}>>"))
                         .alias("ord", "a"))
     return items.select("ord", "a.*")
@@ -25,7 +25,7 @@ def siem_rules(spark: SparkSession) -> DataFrame:
 
 def remediation(spark: SparkSession, path: str) -> DataFrame:
     """Sections and fixes of every markdown document below ``path``."""
-    return parse_remediation(spark.read.option("wholetext", True).text(path))
+    return parse_remediation(spark.read.text(path, wholetext=True))
 
 
 def parse_remediation(documents: DataFrame, text: str = "value") -> DataFrame:
