@@ -7,5 +7,7 @@ from verification import (  # noqa: F401
     evaluation_queries,
     scalar_queries,
     source_queries,
+    stream_queries,
+    window_queries,
 )
 from verification.registry import ORACLE, QUERIES  # noqa: F401
