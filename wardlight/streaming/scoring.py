@@ -52,7 +52,7 @@ class FirstSighting(StatefulProcessor):
         self.handle = handle
         self.newest = handle.getValueState("newest", "us bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parts = [(p["us"].to_numpy(np.int64), p["event_id"].to_numpy()) for p in rows]
         us = np.concatenate([p[0] for p in parts])
         ids = np.concatenate([p[1] for p in parts])
@@ -74,7 +74,7 @@ class FirstSighting(StatefulProcessor):
         tenant, user, token = key
         yield pd.DataFrame({"tenant_id": tenant, "user_id": user, "token": token, "event_id": ids[fresh]})
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.newest.clear()
         yield pd.DataFrame({"tenant_id": [], "user_id": [], "token": [], "event_id": []}).astype(str)
 
