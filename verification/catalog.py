@@ -5,6 +5,7 @@ from verification import (  # noqa: F401
     behaviour_queries,
     core_queries,
     evaluation_queries,
+    model_queries,
     scalar_queries,
     source_queries,
     stream_queries,
