@@ -374,3 +374,12 @@ def p39(spark, sf):
         F.when(F.col("k") % 10 == 0, "error").otherwise("ok"), F.col("ts"), F.col("ts"),
         F.expr("CASE WHEN k % 2 = 0 THEN ts - INTERVAL 1 MINUTE ELSE ts END"),
         F.expr("ts + make_dt_interval(0, 0, 0, k * 2)")).alias("state"))
+
+
+@query("flow_events_to_alerts", _DAY_ALERTS)
+def flow(spark, sf):
+    from wardlight.plans import batch
+
+    e = unified_events(spark, sf).withColumn("input_ord", F.unix_micros("timestamp"))
+    result = batch.run(spark, e, remediation(spark), casb_source="casb")
+    return result.alerts.select("id", "userId", "severity", "score", "app", "createdAt", "tier", "recommendation")

@@ -13,6 +13,7 @@ from wardlight.operators import baselines as B
 from wardlight.operators import features as FE
 from wardlight.operators import ranking as R
 from wardlight.operators import risk as K
+from wardlight.plans import batch
 from wardlight.session import materialize
 
 
@@ -21,9 +22,7 @@ def matrix(spark, sf):
 
 
 def profiles(spark, m):
-    """Blended profiles; the merged moments are written once and read twice."""
-    mom = materialize(spark, B.moments(m), "moments")
-    return B.blended_profiles(B.user_baselines(mom), B.source_stats(mom), FE.feature_columns(m))
+    return batch.stored_profiles(spark, m)
 
 
 def scored(spark, sf):
@@ -150,7 +149,8 @@ def w2(spark, sf):
     devs = B.with_deviations(m, p, features)
     # Values equal but for the last bits count as ties, as in the SQL.
     even = devs.select("event_id", *[F.round(f"d_{f}", 9).alias(f"d_{f}") for f in features])
-    return (even.select("event_id", F.posexplode(B.top_contributors(features)).alias("pos", "c"))
+    coded = even.select("event_id", F.expr(B.deviation_codes(features)).alias("codes"))
+    return (coded.select("event_id", F.posexplode(B.contributors_of("codes", features)).alias("pos", "c"))
             .select("event_id", (F.col("pos") + 1).alias("rn"), F.col("c.feature").alias("feature"),
                     F.col("c.deviation").alias("deviation")))
 
@@ -250,3 +250,32 @@ def u1(spark, sf):
     union = parts[0].unionByName(parts[1])
     return union.groupBy("_source").agg(F.count(F.lit(1)).alias("n_events"),
                                         F.sum("_label").alias("n_anomalies"))
+
+
+@query("j4_users_without_normal_rows", S.MATRIX + "SELECT _username AS username, count(*) FILTER (WHERE _label = 0 AND hour < 12) AS event_count, "
+       "round(coalesce(stddev_samp(hour) FILTER (WHERE _label = 0 AND hour < 12), 0), 6) AS hour_std FROM fm GROUP BY _username")
+def j4(spark, sf):
+    # Only morning rows count as normal here, so some users have few or none.
+    m = matrix(spark, sf).withColumn("_label", F.when(F.col("hour") < 12, F.col("_label")).otherwise(1))
+    return B.user_baselines(B.moments(m)).select("username", "event_count", *r6("hour_std"))
+
+
+@query("j5_features_with_scores", S.SCORES + "SELECT fm.event_id, hour, domain_len, round(anomaly_score, 6) AS anomaly_score FROM fm LEFT JOIN sc USING (event_id)")
+def j5(spark, sf):
+    # One lineage: the scored rows still carry their features.
+    return scored(spark, sf).select("event_id", "hour", "domain_len", *r6("anomaly_score"))
+
+
+@query("j6_daily_with_driver", S.RISK + "SELECT _username, _source, CAST(date AS VARCHAR) AS date, daily_event_count, driver_event_id, "
+       "round(daily_max_score, 6) AS daily_max_score FROM dr")
+def j6(spark, sf):
+    return daily(spark, sf).select("_username", "_source", day(), "daily_event_count", "driver_event_id", *r6("daily_max_score"))
+
+
+@query("u2_anomalies_and_sample", S.MATRIX + "SELECT count(*) FILTER (WHERE _label = 1) AS anomalies, least(200, count(*) FILTER (WHERE _label = 0 AND _source = 'casb')) "
+       "+ least(200, count(*) FILTER (WHERE _label = 0 AND _source = 'cert')) AS sampled, 0 AS repeated FROM fm")
+def u2(spark, sf):
+    kept = FE.keep_anomalies_sample_normal(matrix(spark, sf), 200)
+    ids = kept.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.max("_label").alias("l"))
+    return ids.agg(F.count_if(F.col("l") == 1).alias("anomalies"), F.count_if(F.col("l") == 0).alias("sampled"),
+                   F.count_if(F.col("n") > 1).alias("repeated"))

@@ -128,15 +128,24 @@ def blended_profiles(users: DataFrame, stats: DataFrame, features: list[str],
         *[f"{blend(f'us_{f}', f'ps_{f}')} AS s_{f}" for f in continuous])
 
 
+# Features that hold the sentinel in some sources; any other feature is tested too
+# unless it is known to be free of it.
+_SENTINEL_FREE = tuple(fv.CONTINUOUS_FEATURES) + tuple(f"et_{t}" for t in fv.INDICATOR_EVENT_TYPES) + (
+    "is_weekend", "is_off_hours", "has_domain", "is_exfil_domain", "has_file", "is_removable_media",
+    "weak_auth", "risky_network_zone", "is_shadow_it", "sanction_unsanctioned", "external_recipient")
+
+
 def deviation(feature: str) -> str:
     """M2: distance of a feature from its blended baseline, 0..1 or NULL."""
     gap = f"abs({feature} - m_{feature})"
     if feature in fv.CONTINUOUS_FEATURES:
         std, tiny, clip = f"s_{feature}", f"{fv.ZERO_VARIANCE}D", f"{fv.Z_CLIP}D"
-        body = (f"CASE WHEN {std} < {tiny} THEN CASE WHEN {gap} < {tiny} THEN 0D WHEN {gap} >= {tiny} THEN 1D END "
-                f"ELSE CASE WHEN {gap} / {std} > {clip} THEN 1D ELSE {gap} / {std} / {clip} END END")
+        body = (f"CASE WHEN {std} < {tiny} THEN CAST({gap} >= {tiny} AS DOUBLE) "
+                f"ELSE {gap} / greatest({std} * {clip}, {gap} + 0D * {std}) END")
     else:
-        body = f"CASE WHEN {gap} > 1 THEN 1D ELSE {gap} END"
+        body = f"least({gap}, 1D + 0D * m_{feature})"
+    if feature in _SENTINEL_FREE:
+        return body
     return f"CASE WHEN {feature} <> {fv.SENTINEL} THEN {body} END"
 
 
@@ -146,14 +155,28 @@ def with_deviations(matrix: DataFrame, profiles: DataFrame, features: list[str])
     return joined.selectExpr(*matrix.columns, *[f"{deviation(f)} AS d_{f}" for f in features])
 
 
-def top_contributors(features: list[str], k: int = 5):
-    """The k largest deviations above zero; ties keep the column order."""
-    entries = ", ".join(
-        f"CASE WHEN d_{f} > 0 THEN named_struct('neg', -d_{f}, 'ord', {i}, 'feature', '{f}') END"
-        for i, f in enumerate(features))
+_CODE_SCALE = 10 ** 15
+
+
+def deviation_codes(features: list[str]) -> str:
+    """SQL: one number per feature, larger for a larger deviation, then for an earlier column.
+
+    Fifteen digits of the deviation and the column number fit one BIGINT, so
+    ranking needs no structs. A feature that does not apply gives 0.
+    """
+    n = len(features)
+    parts = (f"CAST(coalesce(d_{f}, 0D) * {_CODE_SCALE}D AS BIGINT) * 100 + {n - i}" for i, f in enumerate(features))
+    return f"array({', '.join(parts)})"
+
+
+def contributors_of(codes: str, features: list[str], k: int = 5):
+    """The k largest deviations above zero of a codes column; ties keep the column order."""
+    n = len(features)
+    names = ", ".join(f"'{f}'" for f in features)
     return F.expr(
-        f"transform(slice(sort_array(array_compact(array({entries}))), 1, {k}), "
-        "x -> named_struct('feature', x.feature, 'deviation', bround(-x.neg, 3)))")
+        f"transform(filter(slice(sort_array({codes}, false), 1, {k}), x -> x >= 100), x -> named_struct("
+        f"'feature', element_at(array({names}), CAST({n} - x % 100 + 1 AS INT)), "
+        f"'deviation', bround((x DIV 100) / {_CODE_SCALE}D, 3)))")
 
 
 def render_contributors(contributors: str):
@@ -162,13 +185,16 @@ def render_contributors(contributors: str):
                   "x -> concat(x.feature, '=', CAST(x.deviation AS STRING))), '; ')")
 
 
-def score_events(matrix: DataFrame, profiles: DataFrame, k: int = 5) -> DataFrame:
-    """M3: mean of the deviations that apply (0 if none) and the top contributors."""
+def score_events(matrix: DataFrame, profiles: DataFrame) -> DataFrame:
+    """M3: mean of the deviations that apply (0 if none) and the deviation codes.
+
+    The codes are ranked (``contributors_of``) where a row is shown or chosen,
+    not for every event.
+    """
     features = feature_columns(matrix)
     devs = with_deviations(matrix, profiles, features)
     total = " + ".join(f"coalesce(d_{f}, 0D)" for f in features)
     used = " + ".join(f"CAST(d_{f} IS NOT NULL AS INT)" for f in features)
-    return devs.select(
-        *matrix.columns,
-        F.expr(f"coalesce(({total}) / nullif({used}, 0), 0D)").alias("anomaly_score"),
-        top_contributors(features, k).alias("contributors"))
+    return devs.selectExpr(
+        *matrix.columns, f"coalesce(({total}) / nullif({used}, 0), 0D) AS anomaly_score",
+        f"{deviation_codes(features)} AS deviation_codes")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wardlight import fixed_values as fv
 from wardlight.functions.rules import category, category_by_source, cert_signal
-from wardlight.operators.baselines import render_contributors
+from wardlight.operators.baselines import contributors_of, render_contributors
+from wardlight.operators.features import feature_columns
 from wardlight.operators.ranking import percentile_rank
 
 DAY = ("_username", "_source", "date")
@@ -16,21 +17,23 @@ DAY = ("_username", "_source", "date")
 def daily_risk_inputs(scores: DataFrame) -> DataFrame:
     """Score aggregates and the driver event of each user-day, in one pass.
 
-    The driver is the event of the highest score; ties go to the lowest id.
+    The driver is the event of the highest score; ties go to the lowest id. Its
+    contributors are ranked after the choice, once per user-day.
     """
+    features = feature_columns(scores.drop("anomaly_score", "deviation_codes"))
     signal = cert_signal("is_removable_media", "external_recipient", "is_exfil_domain")
-    payload = F.struct("event_id", "contributors", "shadow_it_category", signal.alias("cert_signal"))
+    payload = F.struct("event_id", "deviation_codes", "shadow_it_category", signal.alias("cert_signal"))
     daily = scores.groupBy("_username", "_source", F.to_date("ts").alias("date")).agg(
         F.max("anomaly_score").alias("daily_max_score"),
         F.avg("anomaly_score").alias("daily_mean_score"),
         F.count(F.lit(1)).alias("daily_event_count"),
         F.sum("_label").alias("daily_labeled_anomaly_count"),
         F.min_by(payload, F.struct(-F.col("anomaly_score"), F.col("event_id"))).alias("_driver"))
+    daily = daily.withColumn("contributors", contributors_of("_driver.deviation_codes", features))
     return daily.select(
         *DAY, "daily_max_score", "daily_mean_score", "daily_event_count",
         "daily_labeled_anomaly_count", F.col("_driver.event_id").alias("driver_event_id"),
-        F.col("_driver.contributors").alias("contributors"),
-        render_contributors("_driver.contributors").alias("top_contributors"),
+        F.col("contributors"), render_contributors("contributors").alias("top_contributors"),
         F.col("_driver.shadow_it_category").alias("shadow_it_category"),
         F.col("_driver.cert_signal").alias("cert_signal"))
 
