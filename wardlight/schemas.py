@@ -28,7 +28,14 @@ SIEM_ALERT = (
     "data struct<win:struct<eventdata:struct<user:string,queryName:string,image:string>>,"
     "dstuser:string,srcuser:string>, full_log string"
 )
-SIEM_HIT = f"_id string, _source struct<{SIEM_ALERT.replace(' string', ':string').replace(' struct<', ':struct<').replace(', ', ',')}>"
+SIEM_HIT = (
+    "_id string, "
+    "_source struct<id:string,timestamp:string,"
+    "rule:struct<id:string,level:int,description:string,groups:array<string>,mitre:struct<id:array<string>>>,"
+    "agent:struct<id:string,name:string>,"
+    "data:struct<win:struct<eventdata:struct<user:string,queryName:string,image:string>>,"
+    "dstuser:string,srcuser:string>,full_log:string>"
+)
 
 CANONICAL_LINE = (
     "schema_version string, tenant_id string, event_id string, occurred_at string, "
@@ -45,14 +52,3 @@ CATALOGUE = (
     "name string, domain string, publisher string, category string, approval_state string, "
     "risk_weight int"
 )
-
-CERT_LOGS = {
-    "logon": "id string, date string, user string, pc string, activity string",
-    "device": "id string, date string, user string, pc string, activity string",
-    "file": ("id string, date string, user string, pc string, filename string, activity string, "
-             "to_removable_media string, from_removable_media string, content string"),
-    "http": ("id string, date string, user string, pc string, url string, activity string, "
-             "size string, content string"),
-    "email": ("id string, date string, user string, pc string, `to` string, cc string, bcc string, "
-              "`from` string, activity string, size string, attachments string, content string"),
-}
