@@ -14,35 +14,38 @@ from wardlight.operators.features import feature_columns
 _MOMENT_KEYS = ("_username", "_source")
 
 
+# Features that are 0 or 1 everywhere: the sum is also the sum of squares.
+_ZERO_ONE = tuple(f"et_{t}" for t in fv.INDICATOR_EVENT_TYPES) + (
+    "is_weekend", "is_off_hours", "has_domain", "is_exfil_domain", "has_file", "is_removable_media",
+    "weak_auth", "risky_network_zone", "is_shadow_it", "sanction_unsanctioned", "external_recipient")
+
+
 def moments(matrix: DataFrame) -> DataFrame:
-    """Mergeable statistics of normal rows per (user, source): count, mean, variance.
+    """Mergeable statistics of normal rows per (user, source): count, sums, sums of squares.
 
     Both baselines merge these small rows, so writing them once (see
-    ``session.materialize``) makes one read of the matrix serve the two.
-    Only fixed-width values are aggregated, which keeps the hash aggregate.
+    ``session.materialize``) makes one read of the matrix serve the two. One
+    fixed-width number per aggregate keeps the hash aggregate and its code small.
     """
-    aggregates = ["count(1) AS n_rows", "sum(_label) AS n_labeled", "count_if(_label = 0) AS n",
-                  "min(unix_micros(ts)) AS first_us"]
-    for f in feature_columns(matrix):
-        kept = f"CASE WHEN _label = 0 THEN CAST({f} AS DOUBLE) END"
-        aggregates += [f"avg({kept}) AS a_{f}", f"var_pop({kept}) AS v_{f}"]
-        if f.endswith("_log"):
-            aggregates += [f"min({kept}) AS lo_{f}", f"max({kept}) AS hi_{f}"]
-    return matrix.groupBy(*_MOMENT_KEYS).agg(*map(F.expr, aggregates))
+    features = feature_columns(matrix)
+    normal = matrix.selectExpr(*_MOMENT_KEYS, "unix_micros(ts) AS _us", "_label", "1 - _label AS _w", *features)
+    aggregates = ["count(1) AS n_rows", "sum(_label) AS n_labeled", "min(_us) AS first_us"]
+    for f in features:
+        aggregates.append(f"sum({f} * _w) AS s_{f}")
+        if f not in _ZERO_ONE:
+            aggregates.append(f"sum({f} * {f} * _w) AS q_{f}")
+    grouped = normal.groupBy(*_MOMENT_KEYS).agg(*map(F.expr, aggregates))
+    return grouped.withColumn("n", F.col("n_rows") - F.col("n_labeled"))
 
 
 def _features_of(mom: DataFrame) -> list[str]:
-    return [c[2:] for c in mom.columns if c.startswith("a_")]
+    return [c[2:] for c in mom.columns if c.startswith("s_")]
 
 
 def _merged(features: list[str]):
-    """Aggregates that merge means and second moments of each feature."""
-    out = []
-    for f in features:
-        out += [f"sum(n * a_{f}) AS s1_{f}", f"sum(n * (v_{f} + a_{f} * a_{f})) AS s2_{f}"]
-        if f.endswith("_log"):
-            out += [f"min(lo_{f}) AS lo_{f}", f"max(hi_{f}) AS hi_{f}"]
-    return map(F.expr, out)
+    """Aggregates that merge the sums of each feature."""
+    return [F.sum(f"s_{f}").cast("double").alias(f"s1_{f}") for f in features] + [
+        F.sum(f"q_{f}").cast("double").alias(f"s2_{f}") for f in features if f not in _ZERO_ONE]
 
 
 def _mean(f: str, n: str) -> str:
@@ -50,10 +53,15 @@ def _mean(f: str, n: str) -> str:
 
 
 def _std(f: str, n: str) -> str:
-    """Sample deviation from merged moments; equal values give exactly 0."""
-    spread = f"greatest(s2_{f} - s1_{f} * s1_{f} / {n}, 0D)"
-    flat = f"WHEN {n} > 1 AND lo_{f} = hi_{f} THEN 0D " if f.endswith("_log") else ""
-    return f"CASE {flat}WHEN {n} > 1 THEN sqrt({spread} / ({n} - 1)) END"
+    """Sample deviation from merged sums.
+
+    A spread below a millionth of a millionth of the squares is rounding of
+    equal values and counts as 0.
+    """
+    squares = f"s1_{f}" if f in _ZERO_ONE else f"s2_{f}"
+    spread = f"({squares} - s1_{f} * s1_{f} / {n})"
+    return (f"CASE WHEN {n} > 1 THEN CASE WHEN {spread} <= {squares} * 1e-12D THEN 0D "
+            f"ELSE sqrt({spread} / ({n} - 1)) END END")
 
 
 def user_baselines(mom: DataFrame) -> DataFrame:
@@ -128,11 +136,8 @@ def blended_profiles(users: DataFrame, stats: DataFrame, features: list[str],
         *[f"{blend(f'us_{f}', f'ps_{f}')} AS s_{f}" for f in continuous])
 
 
-# Features that hold the sentinel in some sources; any other feature is tested too
-# unless it is known to be free of it.
-_SENTINEL_FREE = tuple(fv.CONTINUOUS_FEATURES) + tuple(f"et_{t}" for t in fv.INDICATOR_EVENT_TYPES) + (
-    "is_weekend", "is_off_hours", "has_domain", "is_exfil_domain", "has_file", "is_removable_media",
-    "weak_auth", "risky_network_zone", "is_shadow_it", "sanction_unsanctioned", "external_recipient")
+# Features that never hold the sentinel; any other one is tested for it.
+_SENTINEL_FREE = fv.CONTINUOUS_FEATURES + _ZERO_ONE
 
 
 def deviation(feature: str) -> str:
