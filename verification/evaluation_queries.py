@@ -106,7 +106,7 @@ def e5(spark, sf):
     return E.model_report(predictions(spark, sf))
 
 
-@query("e8_best_model", S.ctes(DOCS, _REPORT) + "SELECT max_by(model, row(auc, model)) AS model, max(auc) AS auc, max(auc) > 0.6159 AS beats_heuristic FROM rep WHERE scope = '(all)'")
+@query("e8_best_model", S.ctes(DOCS, _REPORT) + "SELECT max_by(model, row(auc, model)) AS model, max(auc) AS auc, max(auc) > 0.6159 AS beats_heuristic FROM rep WHERE scope = '(all)' AND auc IS NOT NULL")
 def e8(spark, sf):
     return E.best_model(E.model_report(predictions(spark, sf)))
 

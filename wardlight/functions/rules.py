@@ -82,8 +82,7 @@ def event_recommendation(severity, explanation, confidence) -> Column:
     confidence = col(confidence)
     percent = F.bround(confidence * 100).cast("int").cast("string")
     note = F.when(confidence < 0.9, F.concat(
-        F.lit(" (baseline confidence "), percent,
-        F.lit("% -- limited history, treat with extra caution)"))).otherwise("")
+        F.lit(fv.SHORT_HISTORY_TEXT[0]), percent, F.lit(fv.SHORT_HISTORY_TEXT[1]))).otherwise("")
     return F.when(col(explanation).isNull(), fv.NO_SIGNAL_TEXT).otherwise(
         F.concat(lookup(fv.ORCHESTRATED_ACTION, col(severity)), F.lit(" "), col(explanation), note))
 
@@ -98,7 +97,7 @@ def technique_note(reported, assigned) -> Column:
     """Remark when the reported tag differs from the assigned one."""
     reported, assigned = col(reported), col(assigned)
     return F.when((reported != "") & (reported != assigned), F.concat(
-        F.lit("wazuh_reported="), reported, F.lit(", pipeline_assigned="), assigned))
+        F.lit(fv.TECHNIQUE_NOTE_TEXT[0]), reported, F.lit(fv.TECHNIQUE_NOTE_TEXT[1]), assigned))
 
 
 def cert_signal(removable, external, exfil) -> Column:

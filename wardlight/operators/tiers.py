@@ -16,6 +16,21 @@ def _percent(c):
     return F.concat(F.bround(c * 100).cast("int").cast("string"), F.lit("%"))
 
 
+def filled(pieces, *values):
+    """Fixed text pieces with values between them."""
+    parts = []
+    for i, piece in enumerate(pieces):
+        parts.append(F.lit(piece))
+        if i < len(values):
+            parts.append(values[i])
+    return F.concat(*parts)
+
+
+def base_tier_reason(base: str = "_base"):
+    """Why the base tier is what it is."""
+    return filled(fv.BASE_TIER_TEXT, F.col("risk_category"), F.col(base), lookup(fv.TIER_LABEL, F.col(base)))
+
+
 def input_errors():
     """What is wrong with the tier inputs of a row, NULL when nothing is."""
     return F.coalesce(
@@ -52,19 +67,13 @@ def with_action_tier(scored: DataFrame, repeat_threshold: int = fv.REPEAT_THRESH
     floored = F.coalesce(F.col("is_known_bad_category"), F.lit(False)) & F.col("_step").isin(
         *fv.FLOOR_RAISED_TIERS)
     tier = F.when(denied, "R6").when(floored, "R5").otherwise(F.col("_step"))
-    label = lookup(fv.TIER_LABEL, F.col("_base"))
     reasons = F.when(denied, F.array(F.lit(fv.DENIED_TEXT))).otherwise(F.array_compact(F.array(
-        F.concat(F.lit("risk_category='"), F.col("risk_category"), F.lit("' -> base tier "),
-                 F.col("_base"), F.lit(" ("), label, F.lit(").")),
-        F.when(common, F.concat(F.lit("peer_prevalence="), _percent(F.col("peer_prevalence")),
-                                F.lit(" >= "), _percent(F.lit(prevalence_threshold)),
-                                F.lit(" threshold -- " + fv.PREVALENCE_TEXT)))
-        .when(repeated, F.concat(F.lit("repeat_count="), F.col("repeat_count").cast("string"),
-                                 F.lit(f" >= {repeat_threshold} threshold -- escalated one step: "),
-                                 F.col("_base"), F.lit(" -> "), F.col("_step"), F.lit("."))),
-        F.when(floored, F.concat(
-            F.lit("is_known_bad_category=True (matched a Wazuh CDB list) -- raised floor from "),
-            F.col("_step"), F.lit(" to R5 regardless of statistical tier."))))))
+        base_tier_reason(),
+        F.when(common, filled(fv.PREVALENCE_LEAD, _percent(F.col("peer_prevalence")),
+                              _percent(F.lit(prevalence_threshold)), F.lit(fv.PREVALENCE_TEXT)))
+        .when(repeated, filled(fv.REPEAT_TEXT, F.col("repeat_count").cast("string"),
+                               F.lit(str(repeat_threshold)), F.col("_base"), F.col("_step"))),
+        F.when(floored, filled(fv.FLOOR_TEXT, F.col("_step"))))))
     df = df.withColumn("r_tier", tier).withColumn("r_tier_reasons", reasons)
     df = (df.withColumn("r_tier_label", lookup(fv.TIER_LABEL, F.col("r_tier")))
           .withColumn("r_tier_explanation", F.array_join("r_tier_reasons", " ")))

@@ -11,6 +11,7 @@ from wardlight.functions.text import lookup
 from wardlight.operators.features import daily_features, live_matrix
 from wardlight.operators.read_models import live_driver_events
 from wardlight.operators.robust import known_domains, peer_baselines, robust_user_baselines
+from wardlight.operators.tiers import filled
 from wardlight.plans.adapt import security_events
 
 
@@ -67,14 +68,11 @@ def user_day_results(scored_days: DataFrame, drivers: DataFrame, cutoffs=fv.SCOR
     base = lookup(fv.BASE_TIER, F.col("risk_category"))
     label = lookup(fv.TIER_LABEL, base)
     severity = lookup(fv.ALERT_SEVERITY, F.col("risk_category"))
-    explanation = F.concat(
-        F.lit("ML pipeline day-level risk assessment: "), F.col("risk_category"), F.lit(" ("),
-        F.col("n_events").cast("string"), F.lit(" events this day, driver event "), F.col("driver_event_id"),
-        F.lit("). "), label, F.lit("."))
-    reason = F.concat(F.lit("risk_category='"), F.col("risk_category"), F.lit("' -> base tier "), base,
-                      F.lit(" ("), label, F.lit(")."))
+    explanation = filled(fv.MODEL_FINDING_TEXT, F.col("risk_category"), F.col("n_events").cast("string"),
+                         F.col("driver_event_id"), label)
+    reason = filled(fv.BASE_TIER_TEXT, F.col("risk_category"), base, label)
     finding = F.struct(
-        F.lit("ml_pipeline_daily_risk").alias("signal"), severity.alias("severity"), points.alias("score"),
+        F.lit(fv.MODEL_FINDING_SIGNAL).alias("signal"), severity.alias("severity"), points.alias("score"),
         explanation.alias("explanation"),
         F.create_map(F.lit("daily_event_count"), F.col("n_events").cast("string"),
                      F.lit("driver_event_id"), F.col("driver_event_id"),
