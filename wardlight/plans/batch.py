@@ -47,8 +47,8 @@ def run(spark: SparkSession, events: DataFrame, remediation: DataFrame, model: P
     Three tables are written on the way (events, moments, risk); each cuts the
     lineage where more than one reader follows.
     """
-    checked = normalize(keep_first(events, order))
-    clean = materialize(spark, good_rows(checked), "events")
+    checked = materialize(spark, normalize(keep_first(events, order)), "events")
+    clean = good_rows(checked)
     scored = event_scores(spark, clean)
     daily = daily_risk_inputs(scored)
     if model is not None:

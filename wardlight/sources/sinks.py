@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from wardlight import fixed_values as fv
 from wardlight.operators.quality import good_rows, quarantine_rows
+from wardlight.session import materialize
 
 
 def write_normalized(normalized: DataFrame, events_path: str, quarantine_path: str) -> None:
-    """K1: accepted events by day, rejected ids with the reason."""
+    """K1: accepted events by day, rejected ids with the reason.
+
+    The checked rows are stored first, so the checks run once for the two outputs.
+    """
+    normalized = materialize(normalized.sparkSession, normalized, "checked")
     good = good_rows(normalized).withColumn("event_date", F.to_date("timestamp"))
     good.write.mode("append").partitionBy("event_date").parquet(events_path)
     quarantine_rows(normalized).write.mode("append").json(quarantine_path)
