@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below one half; rows that repeat an id are judged one by one."""
     index = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
-    return toxicity.keep(docs, index)
+    return toxicity.keep_below(docs, index)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

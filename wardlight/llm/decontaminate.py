@@ -93,21 +93,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     Test items go to the workers in blocks of about ``block_words`` words; a larger
     benchmark takes more passes over the documents, one per block.
     """
-    words = benchmark.agg(F.coalesce(F.sum(F.length(item_text_col)), F.lit(0))).first()[0] / 5
-    blocks = max(1, int(-(-words // block_words)))
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for block in range(blocks):
-        part = _block(source, _items(benchmark, item_id_col, item_text_col, block, blocks), threshold)
-        out = part if out is None else out.unionByName(part)
+    schema = "id bigint, item_id bigint, score double, start_word bigint, end_word bigint, n_seeds bigint"
+    out = docs.sparkSession.createDataFrame([], schema)
+    for table, widths in _blocks(source.select("text"), benchmark, block_words, item_id_col, item_text_col):
+        def find(batches: Iterator[pa.RecordBatch], table=table, widths=widths) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = _found(table.value, widths, batch.column(1), threshold)
+                kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())),
+                     *(pa.array([r[i + 1] for r in rows], kind) for i, kind in enumerate(kinds))],
+                    names=[field.split()[0] for field in schema.split(", ")])
+
+        out = out.unionByName(source.mapInArrow(find, schema))
     return out.withColumnRenamed("id", id_col)
 
 
-def _block(source: DataFrame, items: list[tuple[int, np.ndarray]], threshold: float) -> DataFrame:
-    spark = source.sparkSession
-    schema = "id bigint, item_id bigint, score double, start_word bigint, end_word bigint, n_seeds bigint"
-    if not items:
-        return spark.createDataFrame([], schema)
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_words: int = BLOCK_WORDS,
+               text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no test item in the sense of ``contaminated``."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for table, widths in _blocks(docs.select(F.col(text_col).alias("text")), benchmark, block_words, item_id_col,
+                                 item_text_col):
+        def clean(batches: Iterator[pa.RecordBatch], table=table, widths=widths) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[r[0] for r in _found(table.value, widths, batch.column(at), threshold)]] = False
+                yield batch.filter(pa.array(keep))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out
+
+
+def _blocks(texts: DataFrame, benchmark: DataFrame, block_words: int, id_col: str, text_col: str):
+    """The seed table of each block of test items, with the seed widths in use."""
+    words = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0] / 5
+    blocks = max(1, int(-(-words // block_words)))
+    parts = (_items(benchmark, id_col, text_col, block, blocks) for block in range(blocks))
+    return [_block(texts, items) for items in parts if items]
+
+
+def _block(texts: DataFrame, items: list[tuple[int, np.ndarray]]):
+    """Count the block's seeds over all texts and send the rare ones to the workers."""
     hashes, item, place = _seeds(items)
     distinct = np.unique(hashes)
     widths = sorted({min(SEED, len(words)) for _, words in items})
@@ -121,54 +150,49 @@ def _block(source: DataFrame, items: list[tuple[int, np.ndarray]], threshold: fl
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"seed": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
-    counted = source.select("text").mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
     frequency = np.zeros(len(distinct), np.int64)
     for row in counted.collect():   # a row per seed of the block at most
         frequency[row.seed] = row.n
     often = frequency[np.searchsorted(distinct, hashes)]
     rare = often <= 4 * _medians(item, often, len(items))[item] + 10
-    table = spark.sparkContext.broadcast((items, hashes[rare], item[rare], place[rare]))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, hashes, item, place = table.value
-        known, first = np.unique(hashes, return_index=True)
-        last = np.append(first[1:], len(hashes))
-        for batch in batches:
-            rows_out = []
-            for start, words, bounds in textscan.hashed_rows(batch.column(1), plain=True):
-                for width in widths:
-                    rows, places, numbers = _hits(words, bounds, known, width)
-                    times = (last - first)[numbers]
-                    seed = np.repeat(first[numbers], times) + np.arange(times.sum()) - np.repeat(
-                        np.cumsum(times) - times, times)
-                    row, where = np.repeat(rows, times), np.repeat(places, times)
-                    same = np.array([min(SEED, len(items[i][1])) == width for i in item[seed]], bool)
-                    row, where, seed = row[same], where[same], seed[same]
-                    order = np.lexsort((where, item[seed], row))
-                    row, where, seed = row[order], where[order], seed[order]
-                    edge = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(item[seed], prepend=-1))
-                    for a, b in zip(edge, np.append(edge[1:], len(row)), strict=True):
-                        number, text = int(item[seed[a]]), words[bounds[row[a]]:bounds[row[a] + 1]]
-                        body = items[number][1]
-                        best = (0.0, 0, 0, 0)
-                        for left, right, seeds in _passages(where[a:b] - bounds[row[a]] - place[seed[a:b]],
-                                                            len(body), len(text)):
-                            if seeds < min(2, len(body) - width + 1):
-                                continue
-                            score, end = align(body, text[left:right])
-                            if score > best[0]:
-                                best = (score, left, left + end, seeds)
-                        if best[0] >= threshold * len(body):
-                            _, back = align(body[::-1], text[best[1]:best[2]][::-1])
-                            rows_out.append((start + int(row[a]), items[number][0], best[0] / len(body),
-                                             best[2] - back, best[2], best[3]))
-            picked = pa.array([r[0] for r in rows_out], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(picked), *(pa.array([r[i] for r in rows_out], kind) for i, kind in
-                                                 ((1, pa.int64()), (2, pa.float64()), (3, pa.int64()), (4, pa.int64()), (5, pa.int64())))],
-                names=["id", "item_id", "score", "start_word", "end_word", "n_seeds"])
-
-    return source.mapInArrow(find, schema)
+    table = texts.sparkSession.sparkContext.broadcast((items, hashes[rare], item[rare], place[rare]))
+
+    return table, widths
+
+
+def _found(table, widths: list[int], column: pa.Array, threshold: float) -> list[tuple]:
+    """(row, item id, score, start word, end word, seeds) of the items held by a column's texts."""
+    items, hashes, item, place = table
+    known, first = np.unique(hashes, return_index=True)
+    last, out = np.append(first[1:], len(hashes)), []
+    size = np.array([len(words) for _, words in items])
+    for start, words, bounds in textscan.hashed_rows(column, plain=True):
+        for width in widths:
+            rows, places, numbers = _hits(words, bounds, known, width)
+            times = (last - first)[numbers]
+            seed = np.repeat(first[numbers] - np.cumsum(times) + times, times) + np.arange(times.sum())
+            row, where = np.repeat(rows, times), np.repeat(places, times)
+            same = np.minimum(size[item[seed]], SEED) == width
+            row, where, seed = row[same], where[same], seed[same]
+            order = np.lexsort((where, item[seed], row))
+            row, where, seed = row[order], where[order], seed[order]
+            edge = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(item[seed], prepend=-1) != 0))
+            for a, b in zip(edge, [*edge[1:], len(row)], strict=False):
+                number, text = int(item[seed[a]]), words[bounds[row[a]]:bounds[row[a] + 1]]
+                body, best = items[number][1], (0.0, 0, 0, 0)
+                begins = where[a:b] - bounds[row[a]] - place[seed[a:b]]
+                for left, right, seeds in _passages(begins, len(body), len(text)):
+                    if seeds < min(2, len(body) - width + 1):
+                        continue
+                    score, end = align(body, text[left:right])
+                    if score > best[0]:
+                        best = (score, left, left + end, seeds)
+                if best[0] and best[0] >= threshold * len(body):
+                    _, back = align(body[::-1], text[best[1]:best[2]][::-1])
+                    out.append((start + int(row[a]), items[number][0], best[0] / len(body),
+                                best[2] - back, best[2], best[3]))
+    return out
 
 
 def _medians(item: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:

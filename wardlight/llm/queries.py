@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import byte_bpe, decontaminate, exact_dedup, secrets, token_files, toxicity
+from wardlight.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, secrets, token_files, toxicity
 from wardlight.session import scratch_path
 
 QUERIES: dict = {}
@@ -92,3 +92,24 @@ def op6(spark, sf_dir):
 @_query("op8_decontaminate")
 def op8(spark, sf_dir):
     return decontaminate.contaminated(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+# Brute force over shared shingles: exact similarity of every pair, then connected documents.
+_OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) JOIN n x ON x.doc_id = a.doc_id
+      JOIN n y ON y.doc_id = b.doc_id WHERE a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING count(*) >= 0.8 * (x.n + y.n - count(*)) - 1e-9),
+r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS class_id FROM r GROUP BY 1)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FROM c
+"""
+
+
+@_query("op7_near_duplicates", _OP7)
+def op7(spark, sf_dir):
+    return near_dedup.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")

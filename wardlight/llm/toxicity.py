@@ -209,30 +209,49 @@ def score_documents(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_col:
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, known = sent.value, {}
+        known: dict = {}
         for batch in batches:
-            for first, hashes, bounds in textscan.hashed_rows(batch.column(1), plain=True):
-                n = len(bounds) - 1
-                out = [(index.empty, index.empty, [])] * n
-                if len(index.terms):
-                    rows, terms, counts = _counts(hashes, bounds, index.terms)
-                    edges = np.flatnonzero(np.diff(rows, prepend=-1, append=n))
-                    for begin, end in zip(edges, edges[1:], strict=False):
-                        key = (terms[begin:end].tobytes(), counts[begin:end].tobytes())
-                        if key not in known:
-                            found, cosine = index.search(
-                                terms[begin:end], _vector(terms[begin:end], counts[begin:end], index.idf), k)
-                            vote = index.vote(found, cosine)
-                            if len(known) > 50_000:
-                                known.clear()
-                            known[key] = (index.score(vote) if len(found) else index.empty, vote,
-                                          index.ids[found[:3]].tolist())
-                        out[rows[begin]] = known[key]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, n), pa.array([x[0] for x in out], pa.float64()),
-                     pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))],
-                    names=["id", "score", "vote", "evidence"])
+            out = _scored(sent.value, batch.column(1), k, known)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x[0] for x in out], pa.float64()),
+                 pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))],
+                names=["id", "score", "vote", "evidence"])
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(score, "id bigint, score double, vote double, evidence array<bigint>").withColumnRenamed(
         "id", id_col)
+
+
+def keep_below(docs: DataFrame, index: Index, cutoff: float = 0.5, k: int = NEIGHBOURS,
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``cutoff``."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict = {}
+        for batch in batches:
+            yield batch.filter(pa.array([x[0] < cutoff for x in _scored(sent.value, batch.column(at), k, known)],
+                                        pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _scored(index: Index, column: pa.Array, k: int, known: dict) -> list[tuple[float, float, list[int]]]:
+    """(score, vote, evidence) of every text; equal term counts are searched once."""
+    out = [(index.empty, index.empty, [])] * len(column)
+    if not len(index.terms):
+        return out
+    for first, hashes, bounds in textscan.hashed_rows(column, plain=True):
+        rows, terms, counts = _counts(hashes, bounds, index.terms)
+        edges = np.flatnonzero(np.diff(rows, prepend=-1, append=len(bounds)))
+        for begin, end in zip(edges, edges[1:], strict=False):
+            key = (terms[begin:end].tobytes(), counts[begin:end].tobytes())
+            if key not in known:
+                found, cosine = index.search(
+                    terms[begin:end], _vector(terms[begin:end], counts[begin:end], index.idf), k)
+                vote = index.vote(found, cosine)
+                if len(known) > 50_000:
+                    known.clear()
+                known[key] = (index.score(vote) if len(found) else index.empty, vote, index.ids[found[:3]].tolist())
+            out[first + rows[begin]] = known[key]
+    return out
