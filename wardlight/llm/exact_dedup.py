@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import textscan
-from wardlight.session import materialize
+from wardlight.llm.stored import store
 
 WINDOW = 16          # bytes that decide about a cut
 CUT_BITS = 11        # a cut every 2,048 bytes on average
@@ -100,11 +100,11 @@ def exact_duplicates(docs: DataFrame, digest_size: int = 16, id_col: str = "doc_
     one, longer digests are taken and verified in turn.
     """
     spark = docs.sparkSession
-    while not materialize(spark, unverified(docs, digest_size, text_col), "chunk-collisions").isEmpty():
+    while not store(spark, unverified(docs, digest_size, text_col), "chunk-collisions").isEmpty():
         if digest_size >= 64:
             raise ValueError("two different chunks have one 64-byte digest")
         digest_size = min(64, digest_size * 2)
-    rows = materialize(spark, recipes(docs, digest_size, id_col, text_col), "chunk-recipes")
+    rows = store(spark, recipes(docs, digest_size, id_col, text_col), "chunk-recipes")
     best = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low")))
     groups = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
     groups = groups.select("recipe", (-F.col("best.low")).alias("keep_id"), "group_size")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import textscan
-from wardlight.session import materialize
+from wardlight.llm.stored import store
 
 WORDS = 5            # words of a shingle
 SIMILARITY = 0.8
@@ -168,8 +168,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(spark, both.distinct(), "near-edges")
-    labels = materialize(spark, both.groupBy(F.col("a").alias("node")).agg(
+    both = store(spark, both.distinct(), "near-edges")
+    labels = store(spark, both.groupBy(F.col("a").alias("node")).agg(
         F.least(F.min("b"), F.first("a")).alias("label")), "near-labels")
     while True:
         near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("near"))
@@ -177,7 +177,7 @@ def components(edges: DataFrame) -> DataFrame:
         stepped = labels.join(near, "node").join(up, "label").select(
             "node", F.least("label", "near", "far").alias("label"),
             (F.least("label", "near", "far") != F.col("label")).alias("changed"))
-        labels = materialize(spark, stepped, "near-labels")
+        labels = store(spark, stepped, "near-labels")
         if labels.filter("changed").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
@@ -205,12 +205,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
                          F.col(text_col).cast("string").alias("text"))
-    rows_ = materialize(spark, signatures(source, width, bands, rows, weighted), "near-signatures")
+    rows_ = store(spark, signatures(source, width, bands, rows, weighted), "near-signatures")
     placed = rows_.filter("node IS NOT NULL").select("node", "size", F.explode("keys").alias("key"))
     members = placed.groupBy("key", "node").agg(F.max("size").alias("size"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min(
         F.struct(F.xxhash64("key", "node").alias("h"), "node", "size")).alias("leader")).filter("n > 1")
-    shared = materialize(spark, members.join(buckets, "key").select(
+    shared = store(spark, members.join(buckets, "key").select(
         "key", "node", "size", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")), "near-buckets")
 
     wanted = shared.select("node").distinct()
@@ -218,7 +218,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     texts = source.alias("s").join(
         best.select("node", F.col("at.doc_id").alias("d"), F.col("at.text_hash").alias("h")),
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", "text")
-    sets = materialize(spark, shingle_sets(texts, width, weighted).dropDuplicates(["node"]), "near-sets")
+    sets = store(spark, shingle_sets(texts, width, weighted).dropDuplicates(["node"]), "near-sets")
 
     def checked(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar enough."""
@@ -229,12 +229,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
 
     fits = F.least("size", "leader_size") >= F.greatest("size", "leader_size") * similarity
     pairs = shared.filter((F.col("node") != F.col("leader")) & fits).groupBy("leader", "node").agg(F.count("*").alias("n"))
-    pairs = materialize(spark, pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "n"), "near-pairs")
+    pairs = store(spark, pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "n"), "near-pairs")
     top = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("t")).select(F.col("t.a").alias("a"), "b")
-    links = materialize(spark, checked(top), "near-links")
+    links = store(spark, checked(top), "near-links")
     labels = components(links)
     rest = _apart(pairs, labels).join(top, ["a", "b"], "left_anti")
-    links = links.unionByName(materialize(spark, checked(rest), "near-links"))
+    links = links.unionByName(store(spark, checked(rest), "near-links"))
     labels = components(links)
 
     # Buckets whose members are still apart: their remaining pairs, one bucket row per class and node.
@@ -245,7 +245,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     fits = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity
     rest = mixed.join(other, "key").filter((F.col("label") < F.col("label_b")) & fits).select(
         F.col("node").alias("a"), "b").distinct()
-    last = materialize(spark, checked(rest.join(pairs, ["a", "b"], "left_anti")), "near-links")
+    last = store(spark, checked(rest.join(pairs, ["a", "b"], "left_anti")), "near-links")
     if not last.isEmpty():
         links = links.unionByName(last)
         labels = components(links)
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     nodes = rows_.filter("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     nodes = nodes.join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    nodes = materialize(spark, nodes, "near-nodes")
+    nodes = store(spark, nodes, "near-nodes")
     classes = nodes.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
     nodes = nodes.join(classes, "label").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows_.join(nodes, "node", "left").select(

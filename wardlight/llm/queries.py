@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, secrets, token_files, toxicity
+from wardlight.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, secrets, substring_dedup, token_files, toxicity
 from wardlight.session import scratch_path
 
 QUERIES: dict = {}
@@ -113,3 +113,24 @@ SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size FRO
 @_query("op7_near_duplicates", _OP7)
 def op7(spark, sf_dir):
     return near_dedup.near_duplicates(_documents(spark, sf_dir)).select("doc_id", "class_id", "class_size")
+
+
+_OP1 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) < 20 THEN [] ELSE range(1, len(w) - 18) END) AS p, w FROM d),
+k AS (SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS g FROM s),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY g ORDER BY doc_id, p) AS n FROM k) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM r),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+f AS (SELECT doc_id, len(w) AS n_words, list_filter(range(1, len(w) + 1),
+             lambda i: NOT list_contains(coalesce(gone, []), i)) AS kept, w FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, n_words, n_words - len(kept) AS n_removed,
+       sha256(array_to_string(list_transform(kept, lambda i: w[i]), ' ')) AS kept_sha256 FROM f
+"""
+
+
+@_query("op1_substring_dedup", _OP1)
+def op1(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.session import materialize
+from wardlight.llm.stored import store
 
 MEMO = 400_000   # distinct words that a Python worker remembers; then it starts anew
 ROWS = 500
@@ -125,7 +125,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = source.repartitionByRange(parts, "id").sortWithinPartitions("id", "text")
-    done = materialize(spark, ordered.mapInArrow(write, "part bigint, name string, documents bigint, ids bigint"),
+    done = store(spark, ordered.mapInArrow(write, "part bigint, name string, documents bigint, ids bigint"),
                        "token-parts")
     listed, base = [], 0
     for row in sorted(done.collect(), key=lambda row: row.part):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import textscan
-from wardlight.session import materialize
+from wardlight.llm.stored import store
 
 EXAMPLES = 20_000    # labelled rows to learn from, at most
 TERMS = 512          # terms kept, those most unevenly spread over the two labels
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
                      pa.ListArray.from_arrays(offsets, pa.array(counts))],
                     names=["doc_id", "toxic", "terms", "counts"])
 
-    bags = materialize(spark, _labelled(docs, labels, examples).select("doc_id", "text", "toxic").mapInArrow(
+    bags = store(spark, _labelled(docs, labels, examples).select("doc_id", "text", "toxic").mapInArrow(
         bag, "doc_id bigint, toxic int, terms array<bigint>, counts array<int>"), "toxicity-examples")
     n, positive = bags.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     a, b = F.col("toxic_rows"), F.col("rows")
