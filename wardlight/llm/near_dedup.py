@@ -198,7 +198,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     are not read; an empty table gives an empty result.
 
     Pairs that share a band are candidates. A band's bucket is not paired off: each
-    member meets the bucket's leader, chosen by a hash per bucket. The pair that shares
+    member meets two leaders, the most central one (whose buckets are the largest) and one
+    chosen by a hash per bucket. The pair that shares
     most bands per member is checked first, then the others that are not yet in one class, and at
     last all pairs of a bucket whose classes still differ. Every link is checked exactly.
     """
@@ -208,10 +209,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     rows_ = store(spark, signatures(source, width, bands, rows, weighted), "near-signatures")
     placed = rows_.filter("node IS NOT NULL").select("node", "size", F.explode("keys").alias("key"))
     members = placed.groupBy("key", "node").agg(F.max("size").alias("size"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min(
-        F.struct(F.xxhash64("key", "node").alias("h"), "node", "size")).alias("leader")).filter("n > 1")
-    shared = store(spark, members.join(buckets, "key").select(
-        "key", "node", "size", F.col("leader.node").alias("leader"), F.col("leader.size").alias("leader_size")), "near-buckets")
+    counts = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = store(spark, members.join(counts, "key").select("key", "node", "size", "n"), "near-buckets")
+    central = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = shared.join(central, "node").select("key", "node", "size", "weight")
+    leaders = weighed.groupBy("key").agg(
+        F.max(F.struct("weight", "node", "size")).alias("central"),
+        F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "size")).alias("other"))
+    leaders = leaders.select("key", F.explode(F.array(
+        F.struct("central.node", "central.size"), F.struct("other.node", "other.size"))).alias("leader"))
+    met = shared.join(leaders.select("key", F.col("leader.node").alias("leader"),
+                                     F.col("leader.size").alias("leader_size")), "key")
 
     wanted = shared.select("node").distinct()
     best = rows_.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
@@ -228,7 +236,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
         return joined.filter(both >= F.lit(similarity) * (F.size("x") + F.size("y") - both) - 1e-9).select("a", "b")
 
     fits = F.least("size", "leader_size") >= F.greatest("size", "leader_size") * similarity
-    pairs = shared.filter((F.col("node") != F.col("leader")) & fits).groupBy("leader", "node").agg(F.count("*").alias("n"))
+    pairs = met.filter((F.col("node") != F.col("leader")) & fits).groupBy("leader", "node").agg(F.count("*").alias("n"))
     pairs = store(spark, pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"), "n"), "near-pairs")
     top = pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("t")).select(F.col("t.a").alias("a"), "b")
     links = store(spark, checked(top), "near-links")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import byte_bpe, decontaminate, exact_dedup, near_dedup, secrets, substring_dedup, token_files, toxicity
+from wardlight.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, secrets, substring_dedup, token_files, toxicity
 from wardlight.session import scratch_path
 
 QUERIES: dict = {}
@@ -134,3 +134,29 @@ SELECT doc_id, n_words, n_words - len(kept) AS n_removed,
 def op1(spark, sf_dir):
     kept = substring_dedup.remove_repeats(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_OP10 = r"""
+WITH l AS (SELECT doc_id, unnest(range(0, len(s))) AS line_no, unnest(s) AS line
+           FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+w AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(
+        string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM l),
+u AS (SELECT w, min((doc_id, line_no)) AS first FROM w WHERE len(w) >= 5 GROUP BY w),
+n AS (SELECT row_number() OVER () AS k, w, first, len(w) AS n FROM u),
+t AS (SELECT k, n, first, unnest(w) AS g FROM n),
+m AS (SELECT b.k FROM t a JOIN t b ON a.g = b.g AND a.first < b.first AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
+      GROUP BY a.k, b.k, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*)) - 1e-9),
+g AS (SELECT DISTINCT w.doc_id, w.line_no FROM w JOIN n ON n.w = w.w
+      WHERE (w.doc_id, w.line_no) > n.first OR n.k IN (SELECT k FROM m)),
+k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.line_no) FILTER (g.doc_id IS NULL) AS kept,
+             count(g.doc_id) AS n_removed
+      FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.line_no = l.line_no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN k USING (doc_id)
+"""
+
+
+@_query("op10_line_dedup", _OP10)
+def op10(spark, sf_dir):
+    kept = line_dedup.remove_repeats(_documents(spark, sf_dir))
+    return kept.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import textscan
-from wardlight.llm.stored import store
+from wardlight.llm.stored import discard, store
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)     # every difference mod 13 is one of two of these
@@ -169,7 +169,9 @@ def repeated_windows(source: DataFrame, window: int = WINDOW, parts: int | None
 
     joined = source.join(shared, ["id", "turn"]).select("id", "turn", "text", "places")
     found = _dealt(joined.mapInArrow(windows, _ROW), parts)
-    return _by_document(found.mapInArrow(_repeats(False), "id bigint, place bigint"), "windows")
+    repeated = _by_document(found.mapInArrow(_repeats(False), "id bigint, place bigint"), "windows")
+    discard(shared)
+    return repeated
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, parts: int | None = None, id_col: str = "doc_id",

@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 
 from wardlight.llm.stored import store
 
-MEMO = 400_000   # distinct words that a Python worker remembers; then it starts anew
+MEMO = 200_000   # distinct words that a Python worker remembers; then it starts anew
 ROWS = 500
 _WORD = re.compile("[^ \t\n\v\f\r]+")
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_ODD = frozenset("\u03a3\u0130'<")   # lower case of these depends on what is around, or they start a contraction
 _encoders: dict = {}
 
 
@@ -46,14 +48,51 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype, self.memo = Tokenizer.from_str(json), dtype, {}
+        self.cores = {"": b""}
+        special = [(i, token.content) for i, token in self.tokenizer.get_added_tokens_decoder().items()
+                   if token.special and "<" in token.content]
+        self.mark_id, self.mark = min(special, default=(-1, ""))
+
+    def learn(self, words: set[str]) -> None:
+        """Encode new words; one that is letters and then ASCII marks is joined from its two parts.
+
+        The pattern that parts tokens always cuts between a letter and such a mark, and
+        lower case comes first, so the parts' ids are those of the word.
+        """
+        parts = {}
+        for word in words:
+            core = word.rstrip(_MARKS)
+            if core and core[-1].isalpha() and "<" not in word and not _ODD.intersection(core):
+                parts[word] = (core.lower(), word[len(core):])
+            else:
+                parts[word] = (word, "")
+        if len(self.cores) >= 2 * MEMO:
+            self.cores = {"": b""}
+        self._encode({part for pair in parts.values() for part in pair}.difference(self.cores))
+        cores = self.cores
+        self.memo.update((word, cores[core] + cores[tail]) for word, (core, tail) in parts.items())
+
+    def _encode(self, words: set[str]) -> None:
+        """Many words in one call: a special token, split off before all else, parts them."""
+        plain = [word for word in words if self.mark and "<" not in word]
+        for begin in range(0, len(plain), 2000):
+            some = plain[begin:begin + 2000]
+            ids = np.array(self.tokenizer.encode(self.mark.join(some), add_special_tokens=False).ids, self.dtype)
+            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            if len(ends) != len(some):
+                raise ValueError("the parting token was not kept apart")
+            start = 0
+            for word, stop in zip(some, ends, strict=True):
+                self.cores[word] = ids[start:stop].tobytes()
+                start = stop + 1
+        for word in words.difference(plain):
+            self.cores[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def batch(self, texts: list[str], end: bytes) -> list[bytes]:
         words = [_WORD.findall(text) for text in texts]
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        new = list(set().union(*words).difference(self.memo))
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(found.ids, self.dtype).tobytes()
+        self.learn(set().union(*words).difference(self.memo))
         return [b"".join([*map(self.memo.__getitem__, row), end]) for row in words]
 
 
