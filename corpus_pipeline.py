@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardlight.llm import byte_bpe, decontaminate, toxicity
+from wardlight.llm import byte_bpe, decontaminate, line_dedup, near_dedup, toxicity
 from wardlight.session import materialize
 
 
@@ -25,6 +25,18 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_below(docs, index)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that come close to an earlier line; n_chars follows the text."""
+    kept = line_dedup.remove_repeats(docs).drop("n_removed")
+    changed = F.coalesce(F.length("text"), F.col("n_chars"))
+    return kept.withColumn("n_chars", changed.cast("bigint")).select(*docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, the one with the smallest id."""
+    return near_dedup.keep_one(docs)
+
+
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no test item."""
     return decontaminate.keep_clean(docs, _table(spark, sf_dir, "benchmark"))
@@ -36,7 +48,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                                      public_tokenizers.PATTERN, outputs=("n_tokens", "ids"))
 
 
-STAGES = [("toxicity", toxic), ("decontamination", leaks), ("encoding", encode)]
+STAGES = [("toxicity", toxic), ("line dedup", lines), ("near duplicates", near), ("decontamination", leaks),
+          ("encoding", encode)]
 ORACLE_SQL = None
 
 
@@ -44,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the result of the last."""
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"corpus-{name}")
+        docs = materialize(spark, stage(spark, docs, sf_dir), f"corpus-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, secrets, substring_dedup, token_files, toxicity
+from wardlight.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, secrets, substring_dedup, token_files, toxicity
 from wardlight.session import scratch_path
 
 QUERIES: dict = {}
@@ -160,3 +160,20 @@ FROM documents d LEFT JOIN k USING (doc_id)
 def op10(spark, sf_dir):
     kept = line_dedup.remove_repeats(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@_query("op4_pii")
+def op4(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    found = pii.find_personal_data(docs, pii.fit(docs))
+    names = F.array(*map(F.lit, pii.KINDS))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda c: F.concat_ws(
+            ":", F.get(names, c["kind"]), c["start"].cast("string"), c["end"].cast("string"))), ",")
+
+    def number(kind):
+        return F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("bigint").alias(f"n_{pii.KINDS[kind]}")
+
+    return found.select("doc_id", *map(number, range(4)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"))
