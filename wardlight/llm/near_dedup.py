@@ -186,12 +186,13 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int = WORDS, bands: int = BANDS,
                     rows: int = ROWS, weighted: bool = False, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash, class_id, class_size, n_links.
+    """One row per row of ``docs``: doc_id, text_hash, class_id, class_size, n_links, class_node.
 
     Sets of ``width``-word shingles (words parted by space and \\t \\n \\v \\f \\r; a shorter
     text is one shingle) are linked at Jaccard similarity ``similarity`` or more; with
     ``weighted``, shingles count as often as they occur. A class holds what links
-    connect; class_id is its smallest doc_id. n_links counts the checked links of the
+    connect; class_id is its smallest doc_id, class_node the node it is
+    named by (null without words). n_links counts the checked links of the
     row's shingle set. Texts of equal sets are one node, so copies are never paired. A
     null text, or one without words, is a class of its own. Null ids are sorted last
     in a class, alone they give a null class_id; rows that repeat an id count in class_size. Extra columns
@@ -265,10 +266,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     nodes = nodes.join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     nodes = store(spark, nodes, "near-nodes")
     classes = nodes.groupBy("label").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size"))
-    nodes = nodes.join(classes, "label").select("node", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    nodes = nodes.join(classes, "label").select("node", F.col("label").alias("class_node"), "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return rows_.join(nodes, "node", "left").select(
         "doc_id", "text_hash", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "class_node")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -286,8 +288,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     found = near_duplicates(docs, **options)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id", "doc_id").agg(
-        F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash")
+    first = found.filter("class_node IS NOT NULL").groupBy("class_node").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("f")).select("f.doc_id", "f.text_hash")
+    stay = first.unionByName(found.filter("class_node IS NULL").select("doc_id", "text_hash")).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     hashed = docs.withColumn("_text_hash", F.xxhash64(text_col)).withColumn("_key", F.col(id_col).cast("bigint"))
     kept = hashed.join(stay, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
     return kept.dropDuplicates(["_key", "_text_hash"]).select(*docs.columns)
