@@ -145,3 +145,20 @@ def test_every_query_name_is_registered_once():
     from verification.catalog import ORACLE, QUERIES
 
     assert len(QUERIES) > 150 and set(ORACLE) <= set(QUERIES)
+
+
+def test_replay_on_another_day_and_one_id_in_two_tenants(spark, tmp_path):
+    from wardlight.streaming import intake
+
+    def run(rows):
+        folder = str(tmp_path / "in")
+        spark.createDataFrame(rows, "tenant_id string, event_id string, occurred_at timestamp").coalesce(1).write.mode(
+            "append").json(folder)
+        stream = spark.readStream.schema("tenant_id string, event_id string, occurred_at timestamp").json(folder)
+        intake.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+
+    day = dt.datetime(2024, 1, 1)
+    run([("t1", "evt-1", day), ("t2", "evt-9", day)])
+    run([("t1", "evt-1", day + dt.timedelta(days=8)), ("t1", "evt-9", day)])
+    stored = spark.read.parquet(str(tmp_path / "out")).select("tenant_id", "event_id").collect()
+    assert sorted(map(tuple, stored)) == [("t1", "evt-1"), ("t1", "evt-9"), ("t2", "evt-9")]

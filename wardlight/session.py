@@ -50,12 +50,14 @@ def local_session(cores: str = "*", name: str = "wardlight", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor reaches: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (tests, one machine) a local folder is made and set.
+    Where it is unset on one machine (local master) a local folder is made and set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="wardlight-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

@@ -13,7 +13,6 @@ from wardlight.schemas import RAW_DATA, UNIFIED_EVENT
 from wardlight.sources.files import csv_header, existing_file, list_files
 
 DATE_FORMAT = "M/d/yyyy H:mm:ss"
-ROW_CAP = 500_000
 KINDS = ("logon", "device", "file", "http", "email")
 
 
@@ -209,8 +208,8 @@ def convert(kind: str, raw: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def cert_events(spark: SparkSession, data_dir: str, answers_dir: str | None = None,
-                row_cap: int | None = ROW_CAP) -> DataFrame:
-    """All present logs as one frame; ``row_cap`` rows per file unless None."""
+                row_cap: int | None = None) -> DataFrame:
+    """All present logs as one frame; at most ``row_cap`` rows per file if it is set."""
     windows = (malicious_windows(spark, answers_dir) if answers_dir
                else malicious_windows(spark, data_dir + "/no-answers"))
     parts = []

@@ -34,9 +34,10 @@ def ingest(events: DataFrame, path: str, checkpoint: str):
         rows = (batch.dropDuplicates(["tenant_id", "event_id"])
                 .withColumn("ingested_at", F.current_timestamp())
                 .withColumn("event_date", F.to_date("occurred_at")))
-        known = earlier_ids(spark, path, rows, batch_id)
+        keys = ("tenant_id", "event_id")
+        known = earlier_ids(spark, path, batch_id, keys)
         if known is not None:
-            rows = rows.join(known, "event_id", "left_anti")
+            rows = rows.join(known, list(keys), "left_anti")
         write_once(rows, path, batch_id, by="event_date")
 
     return run_available(events, write, checkpoint)
@@ -60,7 +61,7 @@ def normalize_files(spark: SparkSession, source: str, events_path: str, quaranti
             bad = batch.where(broken).select("event_id", F.lit("parse/validate").alias("error"))
             rows = batch.where(~broken).drop("_corrupt_record").withColumn("event_date", F.to_date("timestamp"))
             # Inside one file batch the arrival order is not kept: the earliest copy counts.
-            known = earlier_ids(spark, events_path, rows, batch_id)
+            known = earlier_ids(spark, events_path, batch_id)
             checked = normalize(keep_first(rows, F.struct("timestamp", "hostname"), known))
             write_once(good_rows(checked), events_path, batch_id, by="event_date")
             write_once(bad.unionByName(quarantine_rows(checked)), quarantine_path, batch_id)

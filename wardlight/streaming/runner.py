@@ -8,15 +8,19 @@ from pyspark.sql import functions as F
 from wardlight.sources.files import exists
 
 
-def run_available(df: DataFrame, write_batch, checkpoint: str, mode: str = "append", timeout: int = 600):
+def run_available(df: DataFrame, write_batch, checkpoint: str, mode: str = "append",
+                  timeout: float | None = None):
     """Process everything available in micro-batches, then stop; returns the progress list.
 
     The checkpoint is the watermark of the source: a failed batch is replayed
-    with the same number, and batch folders make the replay harmless.
+    with the same number, and batch folders make the replay harmless. There is no
+    limit on the time unless ``timeout`` (seconds) sets one.
     """
     query = (df.writeStream.outputMode(mode).foreachBatch(write_batch)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("stream did not finish")
     return query.recentProgress
@@ -42,20 +46,16 @@ def read_batches(spark: SparkSession, path: str, schema: str | None = None) -> D
     return reader.parquet(path)
 
 
-def earlier_ids(spark: SparkSession, path: str, batch: DataFrame, batch_id: int,
-                day: str = "event_date") -> DataFrame | None:
-    """Ids stored by earlier batches, only of the days that occur in this batch.
+def earlier_ids(spark: SparkSession, path: str, batch_id: int, keys: tuple[str, ...] = ("event_id",)) -> DataFrame | None:
+    """Keys stored by earlier batches, of every day: a replay may carry another date.
 
-    The day range is two values; it prunes the stored table to a few folders.
+    Only the key columns are read.
     """
     stored = read_batches(spark, path)
     if stored is None:
         return None
-    low, high = batch.agg(F.min(day), F.max(day)).first()
-    if low is None:
-        return None
     # A replayed batch must not meet its own first attempt.
-    return stored.where((F.col("batch_id") < batch_id) & F.col(day).between(low, high)).select("event_id")
+    return stored.where(F.col("batch_id") < batch_id).select(*keys)
 
 
 def dropped_late_rows(progress) -> int:
