@@ -156,3 +156,52 @@ def test_user_split_is_stratified_and_stable(spark):
     train, test = evaluation.train_test(df, evaluation.split_users(df))
     assert train.count() + test.count() == len(data)
     assert train.join(test, "_username", "left_semi").count() == 0
+
+
+def test_best_cutoffs_search_every_observed_score(spark):
+    rows = [(((i * 37) % 101) / 101.0, int((i * 37) % 101 > 60 + (i % 7)), f"s{i % 3}") for i in range(303)]
+    rows += [(0.95, 1, "late"), (0.96, 1, "late"), (0.97, 1, "late"), (None, 1, "late"), (0.9, 0, "clean")]
+    df = spark.createDataFrame(rows, "s double, bad int, _source string")
+    seen = sorted({round(s, 6) for s, _, _ in rows if s is not None})
+    cuts = [(a + b) / 2 for a, b in zip(seen, seen[1:])]
+    assert len(cuts) > 30
+
+    def best(mine):
+        found = []
+        for c in cuts:
+            tp = sum(1 for s, y in mine if y and s is not None and s >= c)
+            fp = sum(1 for s, y in mine if not y and s is not None and s >= c)
+            fn = sum(y for _, y in mine) - tp
+            found.append((2 * tp / (2 * tp + fp + fn) if tp else 0.0, -c))
+        return max(found, key=lambda f: (round(f[0], 12), f[1]))
+
+    got = {r._source: (r.f1, r.cutoff) for r in evaluation.best_observed_cutoffs(df, "s", "bad").collect()}
+    expected = {"(all)": best([(s, y) for s, y, _ in rows])}
+    expected |= {src: best([(s, y) for s, y, x in rows if x == src]) for src in ("s0", "s1", "s2", "late")}
+    assert got.keys() == expected.keys()
+    for name, (f1, cut) in expected.items():
+        assert got[name] == (pytest.approx(f1), pytest.approx(-cut))
+
+
+def test_equal_collector_records_stay_apart(spark):
+    from wardlight.sources.canonical import collector_events
+    from wardlight.schemas import COLLECTOR_LINE
+
+    line = '{"timestamp": "2024-01-01T00:00:00Z", "kind": "browser", "user": "u", "device": "d", "domain": "x.com"}'
+    records = spark.createDataFrame([(line,)] * 3 + [(line.replace('"u"', '"v"'),)], "j string").selectExpr(
+        f"from_json(j, '{COLLECTOR_LINE}') AS r").select("r.*")
+    first = sorted(r.event_id for r in collector_events(records, "t").collect())
+    assert len(set(first)) == 4
+    assert first == sorted(r.event_id for r in collector_events(records.repartition(3), "t").collect())
+
+
+def test_fixed_limits_and_weights():
+    from wardlight import fixed_values as fv
+
+    assert fv.PERCENTILE_CUTOFFS == (70.0, 90.0, 97.0, 99.0)
+    assert fv.PROBABILITY_CUTOFFS == (0.02, 0.10, 0.50, 0.90)
+    assert fv.SCORER_CUTOFFS == (0.02, 0.10, 0.9926, 0.9984)
+    assert (fv.CLASSIFIER_WEIGHT, fv.HEURISTIC_EVENT_AUC, fv.FEATURE_PENALTY) == (0.85, 0.6159, 0.03)
+    assert (fv.REPEAT_THRESHOLD, fv.PEER_PREVALENCE_THRESHOLD, fv.MAD_TO_SIGMA) == (3, 0.40, 1.4826)
+    assert fv.FLAGGED_CATEGORIES == ("High", "Critical")
+    assert fv.TIER_ABOVE == {"R1": "R2", "R2": "R3", "R3": "R4", "R4": "R5", "R5": "R6", "R6": "R6"}

@@ -58,10 +58,14 @@ def test_batch_folder_replay_is_harmless(spark):
 
 
 def test_candidates(spark):
-    features = ["a", "b", "c"]
-    c = models.decode_candidate([1, 0, 1, 7, 99, -4, 1], features)
-    assert c == models.Candidate(("a", "c"), None, 100, 1, "entropy")
-    assert models.fitness(c, None, None, 3, min_features=3) == 0.0
+    found = models.candidate_grid([("a", "c"), ("b",)], max_depth=[3, None], min_samples_split=[2], min_samples_leaf=[1])
+    assert len(found) == 2 * 2 * 2
+    assert models.Candidate(("a", "c"), None, 2, 1, "entropy") in found
+    assert models.fitness(found[0], None, None, 3, min_features=3) == 0.0
+    with pytest.raises(ValueError):
+        models.candidate_grid([("a",)], max_depth=[4])
+    with pytest.raises(ValueError):
+        models.candidate_grid([("a",)], depth=[3])
 
 
 def test_fitness_weighs_sources_equally(spark):

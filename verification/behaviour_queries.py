@@ -37,6 +37,7 @@ pb AS (SELECT department, m AS daily_volume_median, cohort_size, CASE WHEN cohor
   greatest(1.4826 * median(abs(daily_volume_median - m)), 1.0) END AS daily_volume_scale FROM ub2 JOIN pm USING (department) GROUP BY department, m, cohort_size),
 kd AS (SELECT DISTINCT user_id, domain FROM hs WHERE domain IS NOT NULL)"""
 ROBUST = S.ctes(S.EV, SE, HIST, RB)
+ROBUST_ALL = S.ctes(S.EV, SE, "hs AS (SELECT * FROM se)", RB)
 
 
 def history(spark, sf):
@@ -44,8 +45,8 @@ def history(spark, sf):
     return security_events(spark, sf).where(F.col("occurred_at") < F.lit("2024-01-22").cast("timestamp"))
 
 
-def baselines(spark, sf):
-    h = history(spark, sf)
+def baselines(spark, sf, h=None):
+    h = history(spark, sf) if h is None else h
     users = robust.robust_user_baselines(h)
     return users, robust.peer_baselines(users), robust.known_domains(h, _KEY)
 
@@ -53,30 +54,30 @@ def baselines(spark, sf):
 _SPREADS = ("daily_volume_median", "daily_volume_scale", "login_hour_centre", "login_hour_scale")
 
 
-@query("a8_robust_user_baselines", ROBUST + f"SELECT user_id, department, sample_days, login_samples, {S.r6(*_SPREADS)} FROM ub2")
+@query("a8_robust_user_baselines", ROBUST_ALL + f"SELECT user_id, department, sample_days, login_samples, {S.r6(*_SPREADS)} FROM ub2")
 def a8(spark, sf):
-    return baselines(spark, sf)[0].select("user_id", "department", "sample_days", "login_samples", *r6(*_SPREADS))
+    return baselines(spark, sf, security_events(spark, sf))[0].select("user_id", "department", "sample_days", "login_samples", *r6(*_SPREADS))
 
 
-@query("a8_known_domains", ROBUST + f"SELECT user_id, sha256('{_pad(0x5C)}'::BLOB || unhex(sha256('{_pad(0x36)}'::BLOB || encode(domain)))) AS domain_token FROM kd")
+@query("a8_known_domains", ROBUST_ALL + f"SELECT user_id, sha256('{_pad(0x5C)}'::BLOB || unhex(sha256('{_pad(0x36)}'::BLOB || encode(domain)))) AS domain_token FROM kd")
 def a8k(spark, sf):
-    return baselines(spark, sf)[2]
+    return baselines(spark, sf, security_events(spark, sf))[2]
 
 
-@query("a9_login_medoid", ROBUST + f"SELECT user_id, login_samples, {S.r6('login_hour_centre', 'login_hour_scale')} FROM lp")
+@query("a9_login_medoid", ROBUST_ALL + f"SELECT user_id, login_samples, {S.r6('login_hour_centre', 'login_hour_scale')} FROM lp")
 def a9(spark, sf):
-    return robust.login_pattern(robust.login_cells(history(spark, sf))).select(
+    return robust.login_pattern(robust.login_cells(security_events(spark, sf))).select(
         "user_id", "login_samples", *r6("login_hour_centre", "login_hour_scale"))
 
 
-@query("a10_peer_baselines", ROBUST + f"SELECT department, cohort_size, {S.r6('daily_volume_median', 'daily_volume_scale')} FROM pb")
+@query("a10_peer_baselines", ROBUST_ALL + f"SELECT department, cohort_size, {S.r6('daily_volume_median', 'daily_volume_scale')} FROM pb")
 def a10(spark, sf):
-    return baselines(spark, sf)[1].select("department", "cohort_size", *r6("daily_volume_median", "daily_volume_scale"))
+    return baselines(spark, sf, security_events(spark, sf))[1].select("department", "cohort_size", *r6("daily_volume_median", "daily_volume_scale"))
 
 
-@query("w10_last_department", ROBUST + "SELECT user_id, department FROM dp")
+@query("w10_last_department", ROBUST_ALL + "SELECT user_id, department FROM dp")
 def w10(spark, sf):
-    days = robust.user_days(history(spark, sf))
+    days = robust.user_days(security_events(spark, sf))
     return days.groupBy("user_id").agg(F.max_by("department", F.struct("last_us", "department")).alias("department"))
 
 

@@ -70,7 +70,7 @@ cand AS (SELECT (v + nx) / 2 AS cutoff FROM v WHERE nx IS NOT NULL AND i % CASE
 
 @query("l7_observed_cutoffs", S.ctes(DOCS, _CAND) + "SELECT round(cutoff, 9) AS cutoff FROM cand")
 def l7(spark, sf):
-    return E.observed_cutoffs(predictions(spark, sf), "probability").select(F.round("cutoff", 9).alias("cutoff"))
+    return E.observed_cutoffs(predictions(spark, sf), "probability", keep=15).select(F.round("cutoff", 9).alias("cutoff"))
 
 
 _SWEEP = ("x AS (SELECT cutoff, _source, probability >= cutoff AS f, label = 1 AS a FROM pd, cand), "
@@ -85,11 +85,19 @@ def e4(spark, sf):
     return s.select(F.round("cutoff", 9).alias("cutoff"), "_source", "flagged", "tp", "fp", "fn", *r6("f1"))
 
 
-@query("e4_best_cutoffs", S.ctes(DOCS, _CAND, _SWEEP) + "SELECT _source, round(arg_max(cutoff, row(f1, -cutoff)), 9) AS cutoff, round(max(f1), 6) AS f1 FROM sw "
+_EVERY = """cand AS (SELECT (v + lead(v) OVER (ORDER BY v)) / 2 AS cutoff FROM (SELECT DISTINCT round(probability, 6) AS v FROM pd) QUALIFY cutoff IS NOT NULL)"""
+
+
+@query("l7_all_observed_cutoffs", S.ctes(DOCS, _EVERY) + "SELECT round(cutoff, 9) AS cutoff FROM cand")
+def l7_all(spark, sf):
+    return E.observed_cutoffs(predictions(spark, sf), "probability").select(F.round("cutoff", 9).alias("cutoff"))
+
+
+@query("e4_best_cutoffs", S.ctes(DOCS, _EVERY, _SWEEP) + "SELECT _source, round(arg_max(cutoff, row(f1, -cutoff)), 9) AS cutoff, round(max(f1), 6) AS f1 FROM sw "
        "WHERE f1 > 0 AND (_source = '(all)' OR tp + fn >= 3) GROUP BY _source")
 def e4b(spark, sf):
-    s = E.observed_sweep(predictions(spark, sf), "probability", "label")
-    return E.best_cutoffs(s).select("_source", F.round("cutoff", 9).alias("cutoff"), *r6("f1"))
+    found = E.best_observed_cutoffs(predictions(spark, sf), "probability", "label")
+    return found.select("_source", F.round("cutoff", 9).alias("cutoff"), *r6("f1"))
 
 
 _REPORT = ("x AS (SELECT *, probability >= 0.2 AS f, label = 1 AS a FROM pd UNION ALL SELECT doc_id, '(all)', model, label, probability, probability >= 0.2, label = 1 FROM pd), "

@@ -106,14 +106,6 @@ CASB_ACTIVITY_EVENT_TYPE = {
 }
 CASB_DEFAULT_EVENT_TYPE = "app_launch"
 CASB_RISK_TIER = {"Low": "low", "Medium": "medium", "High": "high", "Critical": "critical"}
-CASB_RAW_FIELDS = (
-    "employee_name", "department", "role", "site", "risk_persona", "is_departing_employee",
-    "has_admin_rights", "security_training_current", "device_type", "device_managed",
-    "network_zone", "source_ip_class", "auth_method", "oauth_scope_granted", "activity_type",
-    "app_category", "sanction_status", "shadow_it_category", "is_shadow_it",
-    "data_classification", "detection_source", "policy_violation", "action_taken",
-    "threat_scenario", "scenario_id",
-)
 CASB_HISTORY_DAYS = 90
 
 # --- SIEM rule table: rule id, event type, category, signal --------------------

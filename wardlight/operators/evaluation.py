@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlight import fixed_values as fv
-from wardlight.operators.ranking import hash_bucket, numbered, value_ranks
+from wardlight.operators.ranking import hash_bucket, numbered, running_before, value_ranks
 
 
 def with_metrics(df: DataFrame) -> DataFrame:
@@ -72,27 +72,63 @@ def cutoff_sweep(df: DataFrame, score: str, label: str, cutoffs, source: str = "
     return _sweep(df, score, label, source, lambda d: d.withColumn("_cuts", cuts))
 
 
-def observed_cutoffs(df: DataFrame, score: str, keep: int = 15) -> DataFrame:
-    """Midpoints between neighbouring observed scores (6 digits), thinned to about ``keep``."""
+def _neighbours(df: DataFrame, score: str) -> DataFrame:
+    """Distinct scores (6 digits) with the next larger one: v, i (its place), n (the last place), next_v."""
     distinct = df.select(F.round(score, 6).alias("v")).where(F.col("v").isNotNull()).distinct()
     ranked = value_ranks(distinct, "v").select("v", F.col("n_before").alias("i"),
                                                (F.col("n_total") - 1).alias("n"))
-    after = ranked.select((F.col("i") - 1).alias("i"), F.col("v").alias("next_v"))
-    step = F.when(F.col("n") > keep, F.floor(F.col("n") / keep)).otherwise(1)
-    return (ranked.join(after, "i").where(F.pmod(F.col("i"), step) == 0)
-            .select(((F.col("v") + F.col("next_v")) / 2).alias("cutoff")))
+    return ranked.join(ranked.select((F.col("i") - 1).alias("i"), F.col("v").alias("next_v")), "i")
 
 
-def observed_sweep(df: DataFrame, score: str, label: str, source: str = "_source",
-                   cutoffs: DataFrame | None = None) -> DataFrame:
-    """The sweep on observed cutoffs (about 30 at most, held in one small row)."""
-    found = observed_cutoffs(df, score) if cutoffs is None else cutoffs
-    cuts = found.agg(F.sort_array(F.collect_list("cutoff")).alias("cuts"))
+def observed_cutoffs(df: DataFrame, score: str, keep: int | None = None) -> DataFrame:
+    """Midpoints between neighbouring observed scores (6 digits); ``keep`` thins a printed table to about that many."""
+    found = _neighbours(df, score)
+    if keep is not None:
+        step = F.when(F.col("n") > keep, F.floor(F.col("n") / keep)).otherwise(1)
+        found = found.where(F.pmod(F.col("i"), step) == 0)
+    return found.select(((F.col("v") + F.col("next_v")) / 2).alias("cutoff"))
+
+
+def observed_sweep(df: DataFrame, score: str, label: str, source: str = "_source", keep: int = 15) -> DataFrame:
+    """A table to read, the sweep on about ``keep`` to twice as many observed cutoffs, held in one small row.
+
+    The best cutoffs are not taken from it but from all of them: :func:`best_observed_cutoffs`.
+    """
+    cuts = observed_cutoffs(df, score, keep).agg(F.sort_array(F.collect_list("cutoff")).alias("cuts"))
     return _sweep(df, score, label, source, lambda d: d.withColumn("_cuts", cuts.scalar()))
 
 
+def best_observed_cutoffs(df: DataFrame, score: str, label: str, source: str = "_source", min_bad: int = 3) -> DataFrame:
+    """Best of all observed cutoffs by f1, overall and per source with enough bad rows; the lowest on ties.
+
+    A source's counts change only above its own scores, so each (source, score) stands for
+    the lowest cutoff above it, and running sums over these pairs replace a sweep. The lowest score
+    of all counts for every source, as its cutoff may lie below all of the source's own.
+    """
+    bad = F.col(label).cast("long")
+    sets = df.select(F.round(score, 6).alias("v"), F.col(source).alias("_scope"), bad.alias("_bad"))
+    sets = sets.groupingSets([["v"], ["v", "_scope"]], "v", "_scope").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_bad").alias("pos"), F.grouping("_scope").alias("_all"))
+    counts = sets.select(F.when(F.col("_all") == 1, "(all)").otherwise(F.col("_scope")).alias(source), "v", "n", "pos")
+    known = F.col("v").isNotNull()
+    totals = counts.groupBy(source).agg(
+        F.sum("pos").alias("n_bad"), F.sum(F.when(known, F.col("n")).otherwise(0)).alias("n_all"),
+        F.sum(F.when(known, F.col("pos")).otherwise(0)).alias("pos_all"))
+    lowest = counts.agg(F.min("v")).scalar()
+    start = totals.select(source, lowest.alias("v"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("pos"))
+    steps = counts.where(known).unionByName(start).groupBy(source, "v").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
+    steps = steps.withColumn("_at", F.round(F.col("v") * 1e6).cast("long"))
+    sums = running_before(steps, [source], "_at", 1 << 12, {"n_below": F.col("n"), "pos_below": F.col("pos")})
+    cutoff = ((F.col("v") + F.col("next_v")) / 2).alias("cutoff")
+    tp = F.col("pos_all") - F.col("pos_below") - F.col("pos")
+    flagged = F.col("n_all") - F.col("n_below") - F.col("n")
+    found = sums.join(totals, source).join(_neighbours(df, score).select("v", "next_v"), "v").select(
+        source, cutoff, tp.alias("tp"), (flagged - tp).alias("fp"), (F.col("n_bad") - tp).alias("fn"))
+    return best_cutoffs(with_metrics(found), source, min_bad)
+
+
 def best_cutoffs(sweep: DataFrame, source: str = "_source", min_bad: int = 3) -> DataFrame:
-    """Best cutoff by f1, overall and for sources with enough bad rows; the lowest on ties."""
+    """The row of highest f1, overall and for sources with enough bad rows; the lowest cutoff on ties."""
     usable = sweep.where((F.col("f1") > 0) & ((F.col(source) == "(all)") | (F.col("tp") + F.col("fn") >= min_bad)))
     pick = F.max_by(F.struct("cutoff", "f1", "precision", "recall"),
                     F.struct(F.col("f1"), -F.col("cutoff")))

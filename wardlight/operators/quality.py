@@ -13,9 +13,10 @@ def keep_first(events: DataFrame, order="input_ord", existing: DataFrame | None
     """First row per event_id, ids of earlier runs left out.
 
     The first-row filter also runs before the shuffle, so an id with very many
-    copies leaves one row per task.
+    copies leaves one row per task. Rows equal in ``order`` are told apart by a hash over
+    their columns, so a recomputed task keeps the same one.
     """
-    w = Window.partitionBy("event_id").orderBy(order)
+    w = Window.partitionBy("event_id").orderBy(order, F.xxhash64(*events.columns))
     first = events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
     if existing is not None:
         first = first.join(existing.select("event_id"), "event_id", "left_anti")

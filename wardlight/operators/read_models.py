@@ -68,9 +68,9 @@ def profile_items(events: DataFrame) -> DataFrame:
 
 
 def live_driver_events(rows: DataFrame) -> DataFrame:
-    """Per (user, day) the event of the highest rule level, the latest on ties."""
+    """Per (user, day) the event of the highest rule level; the latest on ties, then the highest id."""
     return rows.groupBy("_username", F.to_date("ts").alias("date")).agg(
-        F.max_by("event_id", F.struct("rule_level", "ts")).alias("driver_event_id"),
+        F.max_by("event_id", F.struct("rule_level", "ts", "event_id")).alias("driver_event_id"),
         F.count(F.lit(1)).alias("n_events"))
 
 
@@ -196,7 +196,7 @@ def value_mix(df: DataFrame, column: str) -> DataFrame:
 
 
 def latest_heartbeat(heartbeats: DataFrame) -> DataFrame:
-    """The newest heartbeat per tenant."""
+    """The newest heartbeat per tenant; of several at one time, the highest by status, count and detail."""
     return heartbeats.groupBy("tenant_id").agg(
-        F.max_by(F.struct("status", "events_found", "detail", "polled_at"), "polled_at").alias("h")
+        F.max(F.struct("polled_at", "status", "events_found", "detail")).alias("h")
     ).select("tenant_id", "h.*")

@@ -32,8 +32,9 @@ def read_collector(spark: SparkSession, path: str, tenant: str) -> DataFrame:
 def collector_events(records: DataFrame, tenant: str) -> DataFrame:
     """Collector records as canonical events with the metadata of their kind.
 
-    The id is a hash over the content: line numbers do not exist in a split
-    file. Equal records therefore get one id and count as replays.
+    The id is a hash over the content and, from the second equal record on, its number
+    among its equals: line numbers do not exist in a split file. Equal records are counted
+    before the shuffle and dealt out again, so each stays an event, with the same ids in every run.
     """
     kind = F.col("kind")
     metadata = (
@@ -44,11 +45,16 @@ def collector_events(records: DataFrame, tenant: str) -> DataFrame:
         .when(kind == "upload", F.to_json(F.struct("domain", "bytes_transferred")))
         .when(kind == "dlp", F.to_json(F.struct("classification", "detectors", "match_count"))))
     identity = F.concat_ws(":", F.lit(tenant), "timestamp", "user", "device", "kind", metadata)
-    return records.where(kind.isin(*fv.COLLECTOR_KINDS)).select(
+    counted = records.where(kind.isin(*fv.COLLECTOR_KINDS)).select(
+        "timestamp", "user", "device", "kind", metadata.alias("metadata"), identity.alias("_identity")
+    ).groupBy("_identity", "timestamp", "user", "device", "kind", "metadata").agg(F.count(F.lit(1)).alias("_n"))
+    copy = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_copy")
+    number = F.when(F.col("_copy") > 0, F.concat(F.lit("#"), F.col("_copy").cast("string"))).otherwise("")
+    return counted.select("*", copy).select(
         F.lit("1.0").alias("schema_version"), F.lit(tenant).alias("tenant_id"),
-        F.concat(F.lit("evt-"), F.sha1(identity)).alias("event_id"), F.col("timestamp").alias("occurred_at"),
-        F.col("user").alias("user_id"), F.col("device").alias("device_id"), F.lit("simulator").alias("source"),
-        lookup(fv.COLLECTOR_KINDS, kind).alias("event_type"), metadata.alias("metadata"))
+        F.concat(F.lit("evt-"), F.sha1(F.concat("_identity", number))).alias("event_id"),
+        F.col("timestamp").alias("occurred_at"), F.col("user").alias("user_id"), F.col("device").alias("device_id"),
+        F.lit("simulator").alias("source"), lookup(fv.COLLECTOR_KINDS, F.col("kind")).alias("event_type"), "metadata")
 
 
 def read_unified(spark: SparkSession, path: str, multiline: bool = False):

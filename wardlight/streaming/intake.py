@@ -73,16 +73,16 @@ def normalize_files(spark: SparkSession, source: str, events_path: str, quaranti
 
 def liveness(heartbeats: DataFrame, path: str, checkpoint: str):
     """Newest heartbeat per tenant, kept current in update mode."""
-    newest = heartbeats.groupBy("tenant_id").agg(F.max_by(
-        F.struct("status", "events_found", "detail", "polled_at"), "polled_at").alias("h")).select("tenant_id", "h.*")
+    newest = heartbeats.groupBy("tenant_id").agg(F.max(
+        F.struct("polled_at", "status", "events_found", "detail")).alias("h")).select("tenant_id", "h.*")
     return run_available(newest, lambda batch, i: write_once(batch, path, i), checkpoint, mode="update")
 
 
 def current_liveness(spark: SparkSession, path: str) -> DataFrame:
     """The newest row per tenant over the update batches."""
     rows = read_batches(spark, path)
-    return rows.groupBy("tenant_id").agg(F.max_by(
-        F.struct("status", "events_found", "detail", "polled_at"), "polled_at").alias("h")).select("tenant_id", "h.*")
+    return rows.groupBy("tenant_id").agg(F.max(
+        F.struct("polled_at", "status", "events_found", "detail")).alias("h")).select("tenant_id", "h.*")
 
 
 def daily_counts(events: DataFrame, delay: str = "1 hour", user: str = "user_id") -> DataFrame:
