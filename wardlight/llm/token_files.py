@@ -27,11 +27,17 @@ from wardlight.llm.stored import store
 MEMO = 200_000   # distinct words that a Python worker remembers; then it starts anew
 ROWS = 500
 _WORD = re.compile("[^ \t\n\v\f\r]+")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"   # str.split parts at these, the tokenizer has tokens for them
 _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 _ODD = frozenset("\u03a3\u0130'<")   # lower case of these depends on what is around, or they start a contraction
 _encoders: dict = {}
 
 
+def _split(text: str) -> list[str]:
+    """Words of a text; any white space parts tokens, so str.split serves where it has no other marks to part at."""
+    return _WORD.findall(text) if any(mark in text for mark in _SEPARATORS) else text.split()
+
+
 @dataclass(frozen=True)
 class TokenFiles:
     """Where the parts are: rows (part, name, documents, ids, base), one per file pair."""
@@ -59,18 +65,20 @@ class _Encoder:
         The pattern that parts tokens always cuts between a letter and such a mark, and
         lower case comes first, so the parts' ids are those of the word.
         """
-        parts = {}
+        parts = []
         for word in words:
             core = word.rstrip(_MARKS)
-            if core and core[-1].isalpha() and "<" not in word and not _ODD.intersection(core):
-                parts[word] = (core.lower(), word[len(core):])
+            if (core and core[-1].isalpha() and "<" not in word and "'" not in core
+                    and (core.isascii() or not _ODD.intersection(core))):
+                parts.append((word, core.lower(), word[len(core):]))
             else:
-                parts[word] = (word, "")
+                parts.append((word, word, ""))
         if len(self.cores) >= 2 * MEMO:
             self.cores = {"": b""}
-        self._encode({part for pair in parts.values() for part in pair}.difference(self.cores))
-        cores = self.cores
-        self.memo.update((word, cores[core] + cores[tail]) for word, (core, tail) in parts.items())
+        cores, memo = self.cores, self.memo
+        self._encode({core for _, core, _ in parts}.union({tail for _, _, tail in parts}).difference(cores))
+        for word, core, tail in parts:
+            memo[word] = cores[core] + cores[tail] if tail else cores[core]
 
     def _encode(self, words: set[str]) -> None:
         """Many words in one call: a special token, split off before all else, parts them."""
@@ -81,15 +89,15 @@ class _Encoder:
             ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             if len(ends) != len(some):
                 raise ValueError("the parting token was not kept apart")
-            start = 0
+            raw, width, start = ids.tobytes(), ids.itemsize, 0
             for word, stop in zip(some, ends, strict=True):
-                self.cores[word] = ids[start:stop].tobytes()
+                self.cores[word] = raw[width * start:width * stop]
                 start = stop + 1
         for word in words.difference(plain):
             self.cores[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def batch(self, texts: list[str], end: bytes) -> list[bytes]:
-        words = [_WORD.findall(text) for text in texts]
+        words = [_split(text) for text in texts]
         if len(self.memo) >= MEMO:
             self.memo.clear()
         self.learn(set().union(*words).difference(self.memo))
