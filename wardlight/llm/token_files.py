@@ -8,6 +8,7 @@ Parts follow each other by number; the base of a part is the sum of the parts be
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 import zlib
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from wardlight.llm.stored import store
 
-MEMO = 200_000   # distinct words that a Python worker remembers; then it starts anew
+MEMO = 400_000   # distinct words that a Python worker remembers; then it starts anew
 ROWS = 500
 _WORD = re.compile("[^ \t\n\v\f\r]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"   # str.split parts at these, the tokenizer has tokens for them
@@ -97,11 +98,15 @@ class _Encoder:
             self.cores[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def batch(self, texts: list[str], end: bytes) -> list[bytes]:
-        words = [_split(text) for text in texts]
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.learn(set().union(*words).difference(self.memo))
-        return [b"".join([*map(self.memo.__getitem__, row), end]) for row in words]
+        gc.disable()   # no cycles arise here, and walking the remembered words costs time
+        try:
+            words = [_split(text) for text in texts]
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.learn(set().union(*words).difference(self.memo))
+            return [b"".join([*map(self.memo.__getitem__, row), end]) for row in words]
+        finally:
+            gc.enable()
 
 
 def _open(folder: str):
