@@ -138,6 +138,30 @@ def test_personal_data_against_plain_patterns(docs, empty, odd):
     assert pii.find_personal_data(odd, None).count() == 6
 
 
+def _luhn(digits):
+    """The digits with their check digit."""
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
+    return digits + str(-total % 10)
+
+
+def test_obfuscated_personal_data_is_found_and_decoys_are_not(spark):
+    rng = np.random.default_rng(4)
+    texts = [f"{_text(i, 6)} user{i}@mail{i % 5}.example.org {rng.integers(10, 10**9)} {_text(i + 500, 6)} +1 (469) 555-{1000 + i} "
+             f"at 10.0.{3 * i}.1 card 4111 1111 {i:04} {_luhn(f'41111111{i:04}555')[-4:] if i % 2 else 1234}" for i in range(120)]
+    found = ["write to jane [at] example [dot] com. Thanks", "or Bob(AT)mail3.example.org today", "ring 001 469 555 1007 today",
+             "card 4111.1111.1111.1111 here", "at 2001:0db8:0000:0000:0000:ff00:0042:8329 now"]
+    decoys = ["see https://host/jane [at] example [dot] com/x", "run pkg [at] 4 [dot] 17", "f(jane [at] example [dot] com", "in (120) 11",
+              "card 4111.1111.1111.1112 here", "at 00:1b:44:11:3a:b7 now", "we met [at] noon [dot] then"]
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in enumerate(texts + found + decoys)], SCHEMA)
+    got = {r.doc_id: [(docs_text[s.start:s.end], s.kind) for s in r.spans if s not in r.base]
+           for docs_text, r in (((texts + found + decoys)[r.doc_id], r)
+                                for r in pii.find_personal_data(docs, pii.fit(docs)).collect())}
+    assert [got[len(texts) + i] for i in range(5)] == [
+        [("jane [at] example [dot] com", 0)], [("Bob(AT)mail3.example.org", 0)], [("001 469 555 1007", 3)],
+        [("4111.1111.1111.1111", 2)], [("2001:0db8:0000:0000:0000:ff00:0042:8329", 1)]]
+    assert not any(found for i, found in got.items() if i < len(texts) or i >= len(texts) + 5)
+
+
 def test_token_files_round_trip(spark, docs, empty, odd, tmp_path):
     from tokenizers import Tokenizer
 
