@@ -209,6 +209,22 @@ def test_toxicity_search_is_exact_and_learns(spark, empty):
     assert {r.score for r in toxicity.score_documents(mixed, index).collect()} == {index.empty}
 
 
+def test_toxicity_indexes_every_term(spark):
+    """Each toxic pair has words of its own, seen in two examples only, among 1200 commoner ones."""
+    ids = [i for i in range(2000) if __import__("zlib").crc32(str(i).encode()) % 5]
+    rows, labels = [], []
+    for i in ids[:800]:
+        pair = f" slur{i // 8}" if i % 8 < 4 else ""
+        rows.append((i, " ".join(f"v{x}" for x in np.random.default_rng(i).integers(0, 1200, 12)) + pair, "", 1, 1, 1))
+        labels.append((i, int(i % 8 < 4)))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    index = toxicity.fit(docs, marks)
+    words = {w for r in rows for w in r[1].split()}
+    assert len(index.terms) == len(words) > 512
+    tests = spark.createDataFrame([(i, f"slur{i}", "", 1, 1, 1) for i in {i // 8 for i, toxic in labels if toxic}], SCHEMA)
+    assert all(r.vote > 0.9 and r.evidence for r in toxicity.score_documents(tests, index).collect())
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 1 << 62, (2, 300), dtype=np.uint64)

@@ -1,14 +1,15 @@
-"""Operator 6: toxicity by the nearest labelled examples under TF-IDF cosine.
+"""Operator 6: toxicity by the nearest labelled examples under weighted TF-IDF cosine.
 
-The search is exact: blocks of examples are visited by falling upper bound (the sum
-of the query's weights times each term's largest weight in the block) until no block
-can still beat the k-th neighbour found.
+The search is exact over every term of the labelled examples: all examples that share a
+term with the text are scored. A term's idf is raised by how unevenly it is spread over
+the two labels.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,52 +20,51 @@ from wardlight.llm import textscan
 from wardlight.llm.stored import store
 
 EXAMPLES = 20_000    # labelled rows to learn from, at most
-TERMS = 512          # terms kept, those most unevenly spread over the two labels
-LEAST = 4            # labelled rows a term must occur in
+TERMS = None         # terms kept, those most unevenly spread over the two labels; None keeps all
+FLOOR = 0.1          # weight of a term that is spread evenly
 NEIGHBOURS = 25
-BLOCK = 64
 
 
 @dataclass
 class Index:
-    """Labelled examples by term, with the largest weight of each block of examples."""
+    """Labelled examples by term."""
 
     terms: np.ndarray        # sorted term hashes
-    idf: np.ndarray
+    idf: np.ndarray          # raised by the term's association with the label
     labels: np.ndarray
     ids: np.ndarray
     first: np.ndarray        # of each term's postings
     examples: np.ndarray
     weights: np.ndarray
-    block_max: np.ndarray    # (terms, blocks)
     knots: tuple             # votes and calibrated scores
     empty: float             # score of a text without any of the terms
+    rows: dict = field(default_factory=dict)   # weights by example of frequent terms, filled where they are used
+
+    def _row(self, term: int) -> np.ndarray:
+        if term not in self.rows:
+            self.rows[term] = np.zeros(len(self.labels), np.float32)
+            at = slice(self.first[term], self.first[term + 1])
+            self.rows[term][self.examples[at]] = self.weights[at]
+        return self.rows[term]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine, ties by position; ``skip`` is left out."""
-        bounds = weights @ self.block_max[terms]
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        scores = np.zeros(len(self.block_max[0]) * BLOCK)
-        found, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while done < len(order):
-            if len(best) >= k and best[k - 1] > bounds[order[done]] + 1e-9:
-                break
-            blocks = np.zeros(len(self.block_max[0]), bool)
-            blocks[order[done:done + step]] = True
-            for term, weight in zip(terms, weights, strict=True):
-                at = slice(self.first[term], self.first[term + 1])
-                near = self.examples[at]
-                here = blocks[near // BLOCK]
-                scores[near[here]] += weight * self.weights[at][here]
-            members = (order[done:done + step, None] * BLOCK + np.arange(BLOCK)).ravel()
-            members = members[(scores[members] > 0) & (members != skip)]
-            found = np.concatenate([found, members])
-            best = scores[found]
-            keep = np.lexsort((found, -best))[:k]
-            found, best = found[keep], best[keep]
-            done, step = done + step, step * 2
-        return found, best
+        begins, ends = self.first[terms], self.first[terms + 1]
+        frequent = (ends - begins) * 16 > len(self.labels)
+        lists = [slice(a, b) for a, b in zip(begins[~frequent].tolist(), ends[~frequent].tolist(), strict=True)]
+        scores = np.zeros(len(self.labels), np.float32)
+        if lists:
+            shares = np.repeat(weights[~frequent], (ends - begins)[~frequent])
+            shares *= np.concatenate([self.weights[at] for at in lists])
+            scores += np.bincount(np.concatenate([self.examples[at] for at in lists]), shares, len(scores))
+        for term, weight in zip(terms[frequent].tolist(), weights[frequent].tolist(), strict=True):
+            scores += np.float32(weight) * self._row(term)
+        if skip >= 0:
+            scores[skip] = 0.0
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        found = np.flatnonzero((scores >= least) & (scores > 0))
+        found = found[np.lexsort((found, -scores[found]))[:k]]
+        return found, scores[found]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))
@@ -90,7 +90,6 @@ def _vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 def _labelled(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
     """At most ``examples`` labelled texts outside the held-out fifth, chosen by a hash of the id.
-
     Their ids are the only thing broadcast: 16 bytes each, so 320 KB by default.
     """
     chosen = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 != 0")
@@ -99,8 +98,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> Index:
-    """Terms, idf over all documents, and the index of the labelled examples."""
+def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int | None = TERMS) -> Index:
+    """The index of the labelled examples over all their terms, with idf over all documents.
+
+    Bounded by the text of ``examples`` labelled rows, which is all that comes to the driver.
+    """
     spark = docs.sparkSession
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,60 +125,78 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
 
     bags = store(spark, _labelled(docs, labels, examples).select("doc_id", "text", "toxic").mapInArrow(
         bag, "doc_id bigint, toxic int, terms array<bigint>, counts array<int>"), "toxicity-examples")
-    n, positive = bags.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    a, b = F.col("toxic_rows"), F.col("rows")
-    expected = b * F.lit(positive / max(n, 1))
-    uneven = (F.abs(a - expected) - 0.5) / F.sqrt(expected + 0.5)
-    spread = bags.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count("*").alias("rows"), F.sum("toxic").alias("toxic_rows")).filter(F.col("rows") >= LEAST)
-    chosen = [row.term for row in spread.orderBy(uneven.desc(), "term").limit(terms).collect()]
-    known = np.sort(np.array(chosen, np.int64).view(np.uint64))
-    if not len(known):
-        return _index(known, np.zeros(0), [], positive / max(n, 1) if n else 0.0)
-
-    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(known), np.int64), 0
-        for batch in batches:
-            rows += batch.num_rows
-            for _, hashes, bounds in textscan.hashed_rows(batch.column(0), plain=True):
-                total += np.bincount(_counts(hashes, bounds, known)[1], minlength=len(known))
-        yield pa.RecordBatch.from_pydict({"term": pa.array(np.arange(len(known) + 1), pa.int64()),
-                                          "n": pa.array([*total.tolist(), rows], pa.int64())})
-
-    summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequencies, "term bigint, n bigint")
-    df = {row.term: row.n for row in summed.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    every = df[len(known)]
-    idf = np.log((1 + every) / (1 + np.array([df[i] for i in range(len(known))]))) + 1.0
-    # Of the labelled texts only the chosen terms come to the driver: at most ``examples`` rows of ``terms`` pairs.
-    pairs = F.filter(F.arrays_zip("terms", "counts"), lambda x: x["terms"].isin(*chosen))
-    rows = bags.select("doc_id", "toxic", pairs.alias("pairs")).orderBy("doc_id").collect()
-    examples_ = []
-    for row in rows:
-        found = sorted((int(np.searchsorted(known, np.array(p.terms, np.int64).view(np.uint64))), p.counts)
-                       for p in row.pairs)
-        examples_.append((row.doc_id, row.toxic, np.array([t for t, _ in found], np.int64),
-                          np.array([c for _, c in found], np.int64)))
-    return _index(known, idf, examples_, positive / n)
-
-
-def _index(terms, idf, examples, rate: float) -> Index:
-    empty = [label for _, label, found, _ in examples if not len(found)]
-    used = [row for row in examples if len(row[2])]
-    triples = [(t, i, w) for i, (_, _, found, counts) in enumerate(used)
-               for t, w in zip(found.tolist(), _vector(found, counts, idf).tolist(), strict=True)]
-    table = np.array(sorted(triples), float).reshape(-1, 3)
-    blocks = max(1, -(-len(used) // BLOCK))
-    peak = np.zeros((len(terms), blocks))
-    np.maximum.at(peak, (table[:, 0].astype(int), table[:, 1].astype(int) // BLOCK), table[:, 2])
-    index = Index(terms, idf, np.array([row[1] for row in used], float), np.array([row[0] for row in used], np.int64),
-                  np.searchsorted(table[:, 0], np.arange(len(terms) + 1)), table[:, 1].astype(np.int64), table[:, 2],
-                  peak, (np.array([0.0, 1.0]), np.array([0.0, 1.0])),
-                  (sum(empty) + rate) / (len(empty) + 1))
+    table = bags.select("doc_id", "toxic", "terms", "counts").toArrow().sort_by("doc_id")
+    n, toxic = len(table), table["toxic"].to_numpy().astype(float)
+    rate = toxic.mean() if n else 0.0
+    lists = table["terms"].combine_chunks()
+    row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
+    hashes = lists.flatten().to_numpy().view(np.uint64)
+    counts = table["counts"].combine_chunks().flatten().to_numpy()
+    known, term = np.unique(hashes, return_inverse=True)
+    rows = np.bincount(term, minlength=len(known))
+    expected = rows * rate
+    uneven = (np.abs(np.bincount(term, toxic[row], len(known)) - expected) - 0.5) / np.sqrt(expected + 0.5)
+    if terms is not None and terms < len(known):
+        chosen = np.sort(np.lexsort((known, -uneven))[:terms])
+        keep = np.isin(term, chosen)
+        known, uneven, row, counts = known[chosen], uneven[chosen], row[keep], counts[keep]
+        term = np.searchsorted(chosen, term[keep])
+    idf = np.zeros(0)
+    if len(known):
+        sent = spark.sparkContext.broadcast(known)
+
+        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = sent.value
+            total = np.zeros(len(known) + 1, np.int64)
+            for batch in batches:
+                total[-1] += batch.num_rows
+                for _, hashes, bounds in textscan.hashed_rows(batch.column(0), plain=True):
+                    total[:-1] += np.bincount(_counts(hashes, bounds, known)[1], minlength=len(known))
+            seen = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"term": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+
+        summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequencies, "term bigint, n bigint")
+        summed = summed.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+        df = np.zeros(len(known) + 1)
+        df[summed["term"].to_numpy()] = summed["n"].to_numpy()
+        sent.destroy()
+        idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1.0) * (FLOOR + np.maximum(uneven, 0.0))
+    return _index(spark, known, idf, table["doc_id"].to_numpy(), toxic, row, term, counts, rate)
+
+
+def _index(spark, terms, idf, ids, labels, row, term, counts, rate: float) -> Index:
+    """row, term and counts: the examples' terms, by row."""
+    used = np.bincount(row, minlength=len(labels)) > 0
+    place = np.cumsum(used) - 1
+    weights = (1.0 + np.log(counts)) * idf[term] if len(row) else np.zeros(0)
+    weights = weights / np.sqrt(np.bincount(row, weights * weights, len(labels)))[row]
+    order = np.argsort(term, kind="stable")
+    empty = labels[~used]
+    index = Index(terms, idf, labels[used], ids[used], np.searchsorted(term[order], np.arange(len(terms) + 1)).astype(np.int32),
+                  place[row[order]].astype(np.int32), weights[order].astype(np.float32),
+                  (np.array([0.0, 1.0]), np.array([0.0, 1.0])), float((empty.sum() + rate) / (len(empty) + 1)))
+    n = int(used.sum())
+    if not n:
+        return index
     # Votes of the examples, each without itself, against their labels: a rising step function.
-    votes = [index.vote(*index.search(found, _vector(found, counts, idf), NEIGHBOURS, skip=i))
-             for i, (_, _, found, counts) in enumerate(used)]
-    if votes:
-        index.knots = rising(np.array(votes), index.labels)
+    sent = spark.sparkContext.broadcast(index)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        term = np.repeat(np.arange(len(index.terms)), np.diff(index.first))
+        order = np.argsort(index.examples, kind="stable")
+        first = np.searchsorted(index.examples[order], np.arange(len(index.labels) + 1))
+        for batch in batches:
+            out = []
+            for i in batch.column(0).to_pylist():
+                at = order[first[i]:first[i + 1]]
+                out.append(index.vote(*index.search(term[at], index.weights[at], NEIGHBOURS, skip=i)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "vote"])
+
+    parts = max(1, min(24, n // 100))
+    found = spark.range(0, n, 1, parts).mapInArrow(votes, "id bigint, vote double").toArrow().sort_by("id")
+    sent.destroy()
+    index.knots = rising(found["vote"].to_numpy(), index.labels)
     return index
 
 
@@ -201,10 +221,10 @@ def score_documents(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_col:
                     text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, score (0 to 1), vote, evidence (ids of up to 3 neighbours).
 
-    Texts are read whole. A null or empty text, and one without any chosen term, has no
-    neighbour; its score is the labelled rate of such texts. Repeated rows score alike;
+    Texts are read whole. A null or empty text, and one without any term of the examples, has no
+    neighbour; its score is the labelled rate of such texts. Terms of no example are left out of the cosine. Repeated rows score alike;
     extra columns are not read; an empty table gives an empty result. The index is
-    bounded by EXAMPLES x TERMS and goes to every worker.
+    bounded by the text of EXAMPLES rows and goes to every worker.
     """
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -245,7 +265,7 @@ def _scored(index: Index, column: pa.Array, k: int, known: dict) -> list[tuple[f
         rows, terms, counts = _counts(hashes, bounds, index.terms)
         edges = np.flatnonzero(np.diff(rows, prepend=-1, append=len(bounds)))
         for begin, end in zip(edges, edges[1:], strict=False):
-            key = (terms[begin:end].tobytes(), counts[begin:end].tobytes())
+            key = hashlib.blake2b(terms[begin:end].tobytes() + counts[begin:end].tobytes(), digest_size=16).digest()
             if key not in known:
                 found, cosine = index.search(
                     terms[begin:end], _vector(terms[begin:end], counts[begin:end], index.idf), k)
