@@ -225,6 +225,13 @@ def test_toxicity_indexes_every_term(spark):
     assert all(r.vote > 0.9 and r.evidence for r in toxicity.score_documents(tests, index).collect())
 
 
+def test_toxicity_takes_one_example_of_a_repeated_id(spark):
+    docs = spark.createDataFrame([(1 if i % 3 else i, _text(i, 9), "", 1, 1, 1) for i in range(60)], SCHEMA)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id bigint, toxic int")
+    index = toxicity.fit(docs, marks)
+    assert len(set(index.ids.tolist())) == len(index.ids) and 1 in index.ids
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     a, b = rng.integers(1, 1 << 62, (2, 300), dtype=np.uint64)

@@ -90,12 +90,16 @@ def _vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarra
 
 def _labelled(docs: DataFrame, labels: DataFrame, examples: int) -> DataFrame:
     """At most ``examples`` labelled texts outside the held-out fifth, chosen by a hash of the id.
+
+    An id that several rows have gives one example, the text of smallest hash.
     Their ids are the only thing broadcast: 16 bytes each, so 320 KB by default.
     """
     chosen = (labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 != 0")
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    first = rows.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("row"))
+    return first.select("doc_id", "row.text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int | None = TERMS) -> Index:
