@@ -286,6 +286,17 @@ def test_decontamination_finds_copies_and_edits(spark, docs, empty, odd):
     assert decontaminate.contaminated(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_ignores_case_and_punctuation_beyond_ascii(spark):
+    items = ["¿Qué opinión tenía la señora Núñez sobre él y su corazón?", "Die Straße führt über schöne Brücken zum größten Gebäude",
+             "L’été où l’élève répète « à bientôt » près du théâtre", "ο λόγος της πόλης είναι σοφός και παλιός τώρα"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts = [t for item in items for t in (
+        item.upper(), "\u201c" + "\u201d \u201c".join(item.split()) + "\u201d", item.replace(" ", "\u00a0"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(i, i // 3): 1.0 for i in range(len(texts))}
+
+
 def test_alignment_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(50):

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -126,17 +127,31 @@ _PLAIN[:128] = [byte if chr(byte).isalnum() else 32 for byte in range(128)]
 _PLAIN[65:91] += 32
 
 
+# Beyond ASCII, all but letters, marks and numbers separates words.
+_APART = r"[^\x00-\x7F\pL\pM\pN]+"
+
+
+def _lowered(column: pa.Array) -> pa.Array:
+    """Unicode lower case without punctuation beyond ASCII; letters whose upper case has other forms are made alike."""
+    column = pc.utf8_lower(column)
+    for letter, other in (("\u00df", "ss"), ("\u03c2", "\u03c3")):
+        column = pc.replace_substring(column, letter, other)
+    return pc.replace_substring_regex(column, _APART, " ")
+
+
 def hashed_rows(column: pa.Array, plain: bool = False, limit: int = 1 << 21):
     """(first row, word hashes, offsets of rows into them) for runs of rows.
 
-    plain: words are runs of letters, digits and non-ASCII characters, ASCII in lower
-    case; else words are as in the module's head, unchanged.
+    plain: words are runs of letters, marks and digits in lower case; else words are as
+    in the module's head, unchanged.
     """
     data, offsets = column_bytes(column)
     for first, end in row_slices(offsets, limit):
-        part, base = data[offsets[first]:offsets[end]], offsets[first]
+        part, local = data[offsets[first]:offsets[end]], offsets[first:end + 1] - offsets[first]
         if plain:
+            if len(part) and part.max() >= 128:
+                part, local = column_bytes(_lowered(column.slice(first, end - first)))
+                part, local = part[local[0]:local[-1]], local - local[0]
             part = _PLAIN[part]
-        local = offsets[first:end + 1] - base
         starts, ends, bounds = words(part, local, 0, end - first)
         yield first, hash_spans(part, starts, ends), bounds
