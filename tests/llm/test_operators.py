@@ -297,6 +297,16 @@ def test_decontamination_ignores_case_and_punctuation_beyond_ascii(spark):
     assert got == {(i, i // 3): 1.0 for i in range(len(texts))}
 
 
+def test_decontamination_aligns_passages_with_one_seed(spark):
+    item = [f"item{i}" for i in range(15)]
+    edited = " ".join("edit" if i in (2, 5, 8, 11) else w for i, w in enumerate(item))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "four words in all")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, f"a b {edited} c d"), (2, "x four words in none y"), (3, "item0 item1 item2 only")],
+                                 "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.score, r.n_seeds) for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(1, 1): (0.6, 1), (2, 2): (0.75, 1)}
+
+
 def test_alignment_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(50):

@@ -14,6 +14,7 @@ from wardlight.llm import textscan
 SEED = 3                 # words of a seed
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.5          # alignment score by the item's own, at least
+FEW, SHARE = 10, 0.01    # a seed that often, or in that share of texts, beyond 4 x the item's median is still rare
 BLOCK_WORDS = 1_000_000  # words of test items that go to the workers at once (8 MB)
 
 
@@ -82,8 +83,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """A row per document and test item that it holds: doc_id, item_id, score, start_word, end_word, n_seeds.
 
     Words are compared in lower case without punctuation. Seeds are the item's runs of
-    SEED words, without those far more frequent in the corpus than the item's median
-    seed; frequencies are counted over all documents. Around the seeds a document
+    SEED words, without those that occur more often than 4 times the item's median seed
+    plus SHARE of the number of texts (FEW at least); frequencies are counted over all
+    documents. One kept seed is enough for a passage to be aligned. Around the seeds a document
     shares with an item, Smith-Waterman alignment gives the score, 1 for a whole copy.
     The best passage is kept per pair; ``threshold`` decides. Null or empty texts, items
     without words and null item ids match nothing; items with one id are separate texts under
@@ -142,20 +144,22 @@ def _block(texts: DataFrame, items: list[tuple[int, np.ndarray]]):
     widths = sorted({min(SEED, len(words)) for _, words in items})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(distinct), np.int64)
+        total = np.zeros(len(distinct) + 1, np.int64)
         for batch in batches:
+            total[-1] += batch.num_rows
             for _, words, bounds in textscan.hashed_rows(batch.column(0), plain=True):
                 for width in widths:
-                    total += np.bincount(_hits(words, bounds, distinct, width)[2], minlength=len(distinct))
+                    total[:-1] += np.bincount(_hits(words, bounds, distinct, width)[2], minlength=len(distinct))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"seed": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
     counted = texts.mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(len(distinct), np.int64)
+    frequency = np.zeros(len(distinct) + 1, np.int64)
     for row in counted.collect():   # a row per seed of the block at most
         frequency[row.seed] = row.n
+    texts_read = int(frequency[-1])
     often = frequency[np.searchsorted(distinct, hashes)]
-    rare = often <= 4 * _medians(item, often, len(items))[item] + 10
+    rare = often <= 4 * _medians(item, often, len(items))[item] + max(FEW, texts_read * SHARE)
     table = texts.sparkSession.sparkContext.broadcast((items, hashes[rare], item[rare], place[rare]))
 
     return table, widths
@@ -183,8 +187,8 @@ def _found(table, widths: list[int], column: pa.Array, threshold: float) -> list
                 body, best = items[number][1], (0.0, 0, 0, 0)
                 begins = where[a:b] - bounds[row[a]] - place[seed[a:b]]
                 for left, right, seeds in _passages(begins, len(body), len(text)):
-                    if seeds < min(2, len(body) - width + 1):
-                        continue
+                    if np.isin(body, text[left:right]).sum() < threshold * len(body):
+                        continue   # the score is at most the number of the item's words in the passage
                     score, end = align(body, text[left:right])
                     if score > best[0]:
                         best = (score, left, left + end, seeds)
