@@ -5,7 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from wardlight.llm import byte_bpe, decontaminate, exact_dedup, line_dedup, near_dedup, pii, secrets, substring_dedup, token_files, toxicity
+from wardlight.llm import (
+    byte_bpe, decontaminate, exact_dedup, filter_audit, line_dedup, near_dedup, pii, quality_rules, secrets, substring_dedup,
+    token_files, toxicity, whitening,
+)
+from wardlight.llm.stored import store
 from wardlight.session import scratch_path
 
 QUERIES: dict = {}
@@ -177,3 +181,51 @@ def op4(spark, sf_dir):
 
     return found.select("doc_id", *map(number, range(4)), F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"))
+
+
+# Masks of the five filters (bit 0 is A), all orders of five letters, sums over masks at each step.
+_OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+l AS (SELECT doc_id, max((quality = 1)::int) AS good, max((toxic = 1)::int) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, good, toxic, (len(w) < 50)::int + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::int
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t))::int
+        + 8 * regexp_matches(t, '[#$%&*|]')::int
+        + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::int AS mask
+      FROM w LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM f GROUP BY 1, 2),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS bit,
+        list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))) AS earlier
+      FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step::int AS step, letter,
+        coalesce(sum(n) FILTER (mask & (coalesce(earlier, 0)::int | bit::int) = 0), 0)::bigint AS kept,
+        coalesce(sum(n) FILTER (mask & coalesce(earlier, 0)::int = 0 AND mask & bit::int > 0), 0)::bigint AS removed,
+        coalesce(sum(n) FILTER (mask & coalesce(earlier, 0)::int > 0 AND mask & bit::int > 0), 0)::bigint AS redundant,
+        coalesce(sum(n) FILTER (mask = bit::int), 0)::bigint AS unique_fails,
+        coalesce(sum(good) FILTER (mask & coalesce(earlier, 0)::int = 0 AND mask & bit::int > 0), 0)::bigint AS good_lost,
+        coalesce(sum(toxic) FILTER (mask & coalesce(earlier, 0)::int = 0 AND mask & bit::int > 0), 0)::bigint AS toxic_lost
+      FROM m, s GROUP BY part, filter_order, step, letter, bit, earlier)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::bigint AS shapley FROM r
+"""
+
+
+@_query("op11_filter_audit", _OP11)
+def op11(spark, sf_dir):
+    return filter_audit.audit(filter_audit.failure_masks(_documents(spark, sf_dir), _table(spark, sf_dir, "labels")))
+
+
+@_query("op12_quality_rules")
+def op12(spark, sf_dir):
+    counts = store(spark, quality_rules.statistics(_documents(spark, sf_dir)), "quality-counts")
+    judged = quality_rules.judge(counts, quality_rules.fit(counts, _table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@_query("op13_whitening")
+def op13(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
