@@ -30,7 +30,8 @@ def test_first_sightings_expire_like_the_batch_form(spark):
     root = scratch_path(spark, "first")
     batches = [[("e1", "t", "u", at(0), "a"), ("e2", "t", "u", at(1), "a"), ("e3", "t", "u", at(1), "b")],
                [("e4", "t", "u", at(5), "a"), ("e5", "t", "v", at(5), "a")],
-               [("e6", "t", "u", at(9), "b"), ("e7", "t", "u", at(11), "a"), ("e8", "t", "u", at(20), "a")]]
+               [("e6", "t", "u", at(9), "b"), ("e7", "t", "u", at(11), "a"), ("e8", "t", "u", at(20), "a")],
+               [("end", "t", "u", at(99), None)]]   # rows come out when the watermark has passed them
     stream = feed(spark, f"{root}/in", batches, EVENT)
     runner.run_available(scoring.first_sightings(stream, "domain"), lambda b, i: runner.write_once(b, f"{root}/out", i), f"{root}/cp")
     got = {r.event_id for r in spark.read.parquet(f"{root}/out").collect()}

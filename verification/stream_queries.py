@@ -64,17 +64,23 @@ def r3(spark, sf):
     for name, df in (("users", users), ("peers", peers), ("known", known)):
         df.write.parquet(f"{root}/{name}")
     stored = [spark.read.parquet(f"{root}/{n}") for n in ("users", "peers", "known")]
-    scoring.score_on_ingest(stream_of(spark, security_events(spark, sf), "r3-in", 2, 4), *stored, _KEY,
+    scoring.score_on_ingest(stream_of(spark, security_events(spark, sf), "r3-in", 2, 4), lambda: stored, _KEY,
                             f"{root}/scores", f"{root}/bad", f"{root}/cp")
     return spark.read.parquet(f"{root}/scores").select("event_id", "score")
 
 
 @query("r7_first_sightings", TRAILING + "SELECT se.event_id, domain AS token FROM se LEFT JOIN kn ON se.event_id = kn.eid2 WHERE domain IS NOT NULL AND kn.eid2 IS NULL")
 def r7(spark, sf):
+    """Shuffled over four batches inside the delay; a last event without a token moves the watermark past all of them."""
     root = scratch_path(spark, "r7")
-    out = f"{root}/out"
-    runner.run_available(scoring.first_sightings(stream_of(spark, security_events(spark, sf), "r7-in"), "domain"),
-                         lambda b, i: runner.write_once(b, out, i), f"{root}/cp")
+    out, events = f"{root}/out", security_events(spark, sf)
+    closing = events.agg(F.max("occurred_at").alias("t")).select(*(
+        (F.col("t") + F.expr("INTERVAL 100 DAYS") if f.name == "occurred_at" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in events.schema))
+    events.repartitionByRange(7, F.xxhash64("event_id")).write.parquet(f"{root}/in")
+    closing.write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in")
+    runner.run_available(scoring.first_sightings(stream, "domain", "90 days"), lambda b, i: runner.write_once(b, out, i), f"{root}/cp")
     return spark.read.parquet(out).select("event_id", "token")
 
 
@@ -85,15 +91,20 @@ def r8(spark, sf):
     return intake.current_liveness(spark, f"{root}/live").select("tenant_id", "status", F.unix_micros("polled_at").alias("polled_us"))
 
 
-@query("r9_incremental_normalize", MESSY + "SELECT DISTINCT event_id, CASE WHEN trim(username) = '' THEN 'quarantine' ELSE 'accepted' END AS outcome FROM messy")
+@query("r9_incremental_normalize", MESSY + "SELECT DISTINCT t || client_id AS tenant_id, event_id, CASE WHEN trim(username) = '' "
+       "THEN 'quarantine' ELSE 'accepted' END AS outcome FROM messy, (SELECT unnest(['', 'b-']) AS t) WHERE t = '' OR k % 5 <> 1")
 def r9(spark, sf):
+    """Two clients with the same event ids; the second lacks some of them."""
     root = scratch_path(spark, "r9")
     lines = messy_events(spark, sf).drop("input_ord")
-    lines.repartition(4, "event_id").write.json(f"{root}/in")
+    other = lines.join(flat_events(spark, sf).where("k % 5 <> 1").select("event_id"), "event_id")
+    both = lines.unionByName(other.withColumn("client_id", F.concat(F.lit("b-"), "client_id")))
+    both.repartition(4, "event_id").write.json(f"{root}/in")
     intake.normalize_files(spark, f"{root}/in", f"{root}/events", f"{root}/quarantine", f"{root}/cp", 2)
-    good = spark.read.parquet(f"{root}/events").select("event_id", F.lit("accepted").alias("outcome"))
-    bad = spark.read.parquet(f"{root}/quarantine").select("event_id", F.lit("quarantine").alias("outcome"))
-    return good.unionByName(bad)
+    good = spark.read.parquet(f"{root}/events").select(F.col("client_id").alias("tenant_id"), "event_id", F.lit("accepted").alias("outcome"))
+    ids = both.select(F.col("client_id").alias("tenant_id"), "event_id").distinct()
+    bad = spark.read.parquet(f"{root}/quarantine").select("client_id", "event_id").withColumnRenamed("client_id", "tenant_id")
+    return good.unionByName(bad.distinct().join(ids, ["tenant_id", "event_id"]).select("tenant_id", "event_id", F.lit("quarantine").alias("outcome")))
 
 
 @query("r10_daily_counts", EV + "SELECT CAST(d AS VARCHAR) AS date, username AS user_id, count(*) AS n_events FROM ev WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR GROUP BY ALL")
@@ -103,3 +114,17 @@ def r10(spark, sf):
     out = f"{root}/out"
     runner.run_available(intake.daily_counts(stream_of(spark, events, "r10-in")), lambda b, i: runner.write_once(b, out, i), f"{root}/cp")
     return spark.read.parquet(out).select(F.col("date").cast("string").alias("date"), "user_id", "n_events")
+
+
+@query("r10_late_events", EV + """, w AS (SELECT max(ts) - INTERVAL 1 HOUR AS first_mark FROM ev WHERE k % 3 = 1),
+l AS (SELECT count(*) AS late FROM ev, w WHERE k % 3 = 0 AND d + INTERVAL 1 DAY <= first_mark),
+o AS (SELECT count(*) AS open FROM ev, w WHERE d + INTERVAL 1 DAY > (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR)
+SELECT (SELECT count(*) FROM ev) AS arrived, (SELECT count(*) FROM ev) - open - late AS counted, 0::bigint AS open_before, open AS open_after, late FROM l, o""")
+def r10_late(spark, sf):
+    """Three batches of a third of all events each; the second closes the days of the first, the third comes late."""
+    root = scratch_path(spark, "r10-late")
+    events = flat_events(spark, sf).select(F.col("username").alias("user_id"), F.col("ts").alias("occurred_at"), "k")
+    for part in ("k % 3 = 1", "k % 3 = 2", "k % 3 = 0"):
+        events.where(part).drop("k").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.drop("k").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    return intake.count_days(stream, f"{root}/out", f"{root}/cp")

@@ -9,17 +9,18 @@ from wardlight import fixed_values as fv
 from wardlight.functions.text import canonical_app_name, canonical_domain, strip
 
 
-def keep_first(events: DataFrame, order="input_ord", existing: DataFrame | None = None) -> DataFrame:
-    """First row per event_id, ids of earlier runs left out.
+def keep_first(events: DataFrame, order="input_ord", existing: DataFrame | None = None,
+               keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """First row per key, keys of earlier runs left out.
 
     The first-row filter also runs before the shuffle, so an id with very many
     copies leaves one row per task. Rows equal in ``order`` are told apart by a hash over
     their columns, so a recomputed task keeps the same one.
     """
-    w = Window.partitionBy("event_id").orderBy(order, F.xxhash64(*events.columns))
+    w = Window.partitionBy(*keys).orderBy(order, F.xxhash64(*events.columns))
     first = events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == 1).drop("_n")
     if existing is not None:
-        first = first.join(existing.select("event_id"), "event_id", "left_anti")
+        first = first.join(existing.select(*keys), list(keys), "left_anti")
     return first
 
 
@@ -96,16 +97,16 @@ def normalization_statistics(events: DataFrame, normalized: DataFrame) -> DataFr
         "app_names_canonicalized", "domains_canonicalized", "fields_imputed")
 
 
-def ingest_status(incoming: DataFrame, stored: DataFrame) -> DataFrame:
+def ingest_status(incoming: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """K7: ``accepted`` or ``duplicate`` per incoming event, replays inside the batch included.
 
     The first copy is found by a numeric aggregate, so many copies of one id
     never meet in a task.
     """
-    first = incoming.groupBy("event_id").agg(F.min("input_ord").alias("_first"))
-    known = stored.select("event_id", F.lit(True).alias("_stored")).distinct()
-    heads = first.join(known, "event_id", "left")
+    first = incoming.groupBy(*keys).agg(F.min("input_ord").alias("_first"))
+    known = stored.select(*keys, F.lit(True).alias("_stored")).distinct()
+    heads = first.join(known, list(keys), "left")
     again = F.coalesce("_stored", F.lit(False)) | (F.col("input_ord") > F.col("_first"))
-    return (incoming.join(heads, "event_id", "left")
+    return (incoming.join(heads, list(keys), "left")
             .withColumn("status", F.when(again, "duplicate").otherwise("accepted"))
             .drop("_first", "_stored"))

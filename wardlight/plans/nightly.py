@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wardlight import fixed_values as fv
@@ -13,6 +13,9 @@ from wardlight.operators.read_models import live_driver_events
 from wardlight.operators.robust import known_domains, peer_baselines, robust_user_baselines
 from wardlight.operators.tiers import filled
 from wardlight.plans.adapt import security_events
+from wardlight.session import materialize
+from wardlight.sources.sinks import append_scores, write_baselines
+from wardlight.streaming.tables import Pointer
 
 
 def trailing(events: DataFrame, run_ts, days: int = fv.BASELINE_WINDOW_DAYS, ts: str = "occurred_at") -> DataFrame:
@@ -28,6 +31,41 @@ def refresh_baselines(canonical: DataFrame, run_ts, key: str, days: int = fv.BAS
     return users, peer_baselines(users), known_domains(events, key)
 
 
+class BaselineStore:
+    """K6: versions of the three baseline tables below one folder; a pointer names the one in force.
+
+    Readers ask ``current`` whenever they need the baselines: a version is written in full before the
+    pointer moves, and is never changed afterwards.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, key: str):
+        self.spark, self.root, self.key = spark, root, key
+        self.pointer = Pointer(spark, f"{root}/_current")
+
+    def current(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(user baselines, peer baselines, known domains) in force."""
+        version = self.pointer.get()
+        if version is None:
+            raise ValueError(f"no baselines published below {self.root}")
+        return tuple(self.spark.read.parquet(f"{self.root}/{name}/version={version}") for name in ("users", "peers", "known"))
+
+    def refresh(self, canonical: DataFrame, run_ts, version: str, days: int = fv.BASELINE_WINDOW_DAYS) -> tuple:
+        """Recompute the trailing window, keep users outside it, publish; returns the new tables.
+
+        Departments are recomputed from all users that are kept. Running a version again replaces it.
+        """
+        users, _, known = refresh_baselines(canonical, run_ts, self.key, days)
+        old = self.current() if self.pointer.get() not in (None, version) else None
+        write_baselines(users, f"{self.root}/users", version, "user_id", old[0] if old else None)
+        users = self.spark.read.parquet(f"{self.root}/users/version={version}")
+        write_baselines(peer_baselines(users), f"{self.root}/peers", version, "department")
+        # A user's known domains are replaced as a whole, as its baseline row is.
+        kept = old[2].join(known.select("user_id").distinct(), "user_id", "left_anti") if old else None
+        write_baselines(known.unionByName(kept) if old else known, f"{self.root}/known", version, "user_id")
+        self.pointer.move(version)
+        return self.current()
+
+
 def refresh_counts(canonical: DataFrame, run_ts, days: int = fv.BASELINE_WINDOW_DAYS) -> DataFrame:
     """Events considered and adapted, users and departments recomputed."""
     window = trailing(canonical, run_ts, days)
@@ -93,6 +131,27 @@ def score_user_days(canonical: DataFrame, model, run_ts, days: int = fv.BASELINE
     return user_day_results(scored, live_driver_events(live_matrix(window)), cutoffs)
 
 
+def publish_user_days(canonical: DataFrame, model, run_ts, scores_path: str, days: int = fv.BASELINE_WINDOW_DAYS,
+                      cutoffs=fv.SCORER_CUTOFFS) -> DataFrame:
+    """User-day results appended to the event scores, and one row of counts.
+
+    A result replaces the per-event score of its driver event, since readers take the newest row of an
+    event. Counted are the events considered, the user-days scored and those that stay
+    Informational and are skipped.
+    """
+    from wardlight.operators.models import score_days
+
+    spark, window = canonical.sparkSession, trailing(canonical, run_ts, days)
+    scored = materialize(spark, score_days(model, daily_features(live_matrix(window))), "scored-days")
+    results = user_day_results(scored, live_driver_events(live_matrix(window)), cutoffs)
+    rows, written = observed(results.withColumn("computed_at", F.current_timestamp()), "user-days")
+    append_scores(rows, scores_path)
+    n = F.lit(written.get["rows"]).cast("bigint")
+    return scored.agg(F.count(F.lit(1)).alias("_days")).select(
+        window.agg(F.count(F.lit(1))).scalar().alias("events_considered"), n.alias("user_days_scored"),
+        (F.col("_days") - n).alias("user_days_informational_skipped"))
+
+
 def backfill_targets(events: DataFrame, scores: DataFrame, rescore_all: bool = False) -> DataFrame:
     """Events without a score, or every event."""
     return events if rescore_all else events.join(scores.select("event_id"), "event_id", "left_anti")

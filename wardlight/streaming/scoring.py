@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,32 +18,60 @@ from wardlight.streaming.runner import run_available, write_once
 DAY_US = 86_400_000_000
 
 
-def score_on_ingest(events: DataFrame, users: DataFrame, peers: DataFrame, known: DataFrame, key: str,
+def score_on_ingest(events: DataFrame, baselines: Callable[[], tuple[DataFrame, DataFrame, DataFrame]], key: str,
                     scores_path: str, quarantine_path: str, checkpoint: str):
-    """Stream-static joins to the stored baselines, detectors, two outputs per batch.
+    """Joins to the stored baselines, detectors, two outputs per batch.
 
+    ``baselines`` gives (users, peers, known domains) and is asked in every micro-batch, so a running
+    stream takes up a version as soon as it is published (``nightly.BaselineStore.current``).
     Events that break the contract go to quarantine and never stop the rest.
     """
-    rows = detect.attach_baselines(events.withColumn("_errors", security_errors()), users, peers, known, key)
-    scored = detect.orchestrate(detect.with_signals(rows, detect.behaviour_signals("engine")))
-
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        rows = detect.attach_baselines(batch.withColumn("_errors", security_errors()), *baselines(), key)
+        scored = detect.orchestrate(detect.with_signals(rows, detect.behaviour_signals("engine"))).persist()
         try:
-            good = batch.where(F.size("_errors") == 0).select(
+            good = scored.where(F.size("_errors") == 0).select(
                 "event_id", "user_id", "occurred_at", "score", "severity", "tier", "recommendation", "signals",
                 "confidence", "sample_days").withColumn("computed_at", F.current_timestamp())
-            bad = batch.where(F.size("_errors") > 0).select("event_id", F.array_join("_errors", "; ").alias("error"))
+            bad = scored.where(F.size("_errors") > 0).select("event_id", F.array_join("_errors", "; ").alias("error"))
             write_once(good, scores_path, batch_id)
             write_once(bad, quarantine_path, batch_id)
         finally:
-            batch.unpersist()
+            scored.unpersist()
+
+    return run_available(events, write, checkpoint)
+
 
-    return run_available(scored, write, checkpoint)
+def thinned(us: np.ndarray, ids: np.ndarray, newest: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """What waiting sightings of one token must keep: (times, ids), by time; an empty id is a time alone.
+
+    A row with a strictly earlier sighting in the window is no first one, whatever comes later, so its id
+    goes. For rows to come it matters only whether some sighting lies in the window before
+    them: of a chain of sightings without a gap above the window, its start and hops of at most the window say the same.
+    ``newest`` is the newest released sighting, or negative.
+    """
+    order = np.argsort(us, kind="stable")
+    us, ids = us[order], ids[order]
+    before = np.searchsorted(us, us, side="left")
+    earlier = np.where(before > 0, us[np.maximum(before - 1, 0)], newest)
+    fresh = (earlier < 0) | (earlier < us - window)
+    times, hops, i = np.unique(us), [], 0
+    while i < len(times):
+        hops.append(times[i])
+        i = max(i + 1, int(np.searchsorted(times, times[i] + window, side="right")) - 1)
+    alone = np.setdiff1d(np.array(hops, dtype=np.int64), us[fresh])
+    kept_us, kept_ids = np.concatenate([us[fresh], alone]), np.concatenate([ids[fresh], np.full(len(alone), "", dtype=object)])
+    order = np.argsort(kept_us, kind="stable")
+    return kept_us[order], kept_ids[order]
 
 
 class FirstSighting(StatefulProcessor):
-    """Keeps the newest sighting of one (tenant, user, token); a timer forgets it after the window."""
+    """First sightings of one (tenant, user, token) in event-time order.
+
+    Sightings wait until the watermark has passed them, so the order in which they arrive
+    does not matter. Waiting ones are thinned as they come, chunk by chunk; the newest
+    released one is a number, forgotten when the window has passed.
+    """
 
     def __init__(self, window_us: int):
         self.window_us = window_us
@@ -51,32 +79,49 @@ class FirstSighting(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.newest = handle.getValueState("newest", "us bigint")
+        self.waiting = handle.getListState("waiting", "us bigint, event_id string")
+
+    def _stored(self) -> tuple[int, np.ndarray, np.ndarray]:
+        newest, rows = self.newest.get(), list(self.waiting.get())
+        ids = np.empty(len(rows), dtype=object)
+        ids[:] = [r[1] for r in rows]
+        return -1 if newest is None else newest[0], np.array([r[0] for r in rows], dtype=np.int64), ids
+
+    def _keep(self, newest: int, us: np.ndarray, ids: np.ndarray) -> None:
+        """Store what waits, and one timer: for the first waiting row, or for forgetting the newest sighting."""
+        self.waiting.clear()
+        if len(us):
+            self.waiting.put([(int(t), i) for t, i in zip(us, ids, strict=True)])
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        due = int(us[0]) if len(us) else newest + self.window_us
+        self.handle.registerTimer(due // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        parts = [(p["us"].to_numpy(np.int64), p["event_id"].to_numpy()) for p in rows]
-        us = np.concatenate([p[0] for p in parts])
-        ids = np.concatenate([p[1] for p in parts])
-        order = np.argsort(us, kind="stable")
-        us, ids = us[order], ids[order]
-        stored = self.newest.get()
-        start = stored[0] if stored is not None else None
-        # Newest strictly earlier sighting of each row, inside the batch and before it.
-        first = np.searchsorted(us, us, side="left")
-        earlier = np.where(first > 0, us[np.maximum(first - 1, 0)], -1)
-        if start is not None:
-            earlier = np.where(start < us, np.maximum(earlier, start), us)
-        fresh = (earlier < 0) | (earlier < us - self.window_us)
-        newest = int(us[-1]) if start is None else max(int(us[-1]), start)
-        self.newest.update((newest,))
-        for t in self.handle.listTimers():
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer((newest + self.window_us) // 1000 + 1)
-        tenant, user, token = key
-        yield pd.DataFrame({"tenant_id": tenant, "user_id": user, "token": token, "event_id": ids[fresh]})
+        newest, us, ids = self._stored()
+        for chunk in rows:
+            us = np.concatenate([us, chunk["us"].to_numpy(np.int64)])
+            ids = np.concatenate([ids, chunk["event_id"].to_numpy(object)])
+            us, ids = thinned(us, ids, newest, self.window_us)
+        self._keep(newest, us, ids)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.newest.clear()
-        yield pd.DataFrame({"tenant_id": [], "user_id": [], "token": [], "event_id": []}).astype(str)
+        newest, us, ids = self._stored()
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due = us <= passed
+        if due.any():
+            newest = max(newest, int(us[due][-1]))
+        if due.all() and newest + self.window_us < passed:
+            self.newest.clear()
+            self.waiting.clear()
+        else:
+            self.newest.update((newest,))
+            self._keep(newest, us[~due], ids[~due])
+        found = ids[due]
+        found = found[found != ""]
+        tenant, user, token = key
+        yield pd.DataFrame({"tenant_id": tenant, "user_id": user, "token": token, "event_id": found})
 
     def close(self) -> None:
         pass
@@ -84,14 +129,17 @@ class FirstSighting(StatefulProcessor):
 
 def first_sightings(events: DataFrame, token: str, delay: str = "1 hour",
                     days: int = fv.BASELINE_WINDOW_DAYS) -> DataFrame:
-    """Events whose token the user did not show in the window before, as they arrive.
+    """Events whose token the user did not show in the window before, in event-time order.
 
-    State is one number per (tenant, user, token), so a busy user is spread over
-    its tokens. Rows that arrive after a newer sighting do not count as first.
+    Equal to the batch form on all rows that arrive within the delay, in whatever order; a
+    row comes out once the watermark has passed it. Events without a token move the watermark too.
+    State is per (tenant, user, token) and does not grow with the number of sightings.
     """
-    keyed = (events.where(F.col(token).isNotNull()).withWatermark("occurred_at", delay)
-             .select("tenant_id", "user_id", F.col(token).alias("token"), "event_id",
-                     F.unix_micros("occurred_at").alias("us"), "occurred_at"))
+    # A filter on the token alone would be moved below the watermark, which rows without one then could not move.
+    us = F.when(F.col(token).isNotNull(), F.unix_micros("occurred_at")).alias("us")
+    keyed = (events.withWatermark("occurred_at", delay)
+             .select("tenant_id", "user_id", F.col(token).alias("token"), "event_id", us, "occurred_at")
+             .where(F.col("us").isNotNull()))
     return keyed.groupBy("tenant_id", "user_id", "token").transformWithStateInPandas(
         statefulProcessor=FirstSighting(days * DAY_US),
         outputStructType="tenant_id string, user_id string, token string, event_id string",
