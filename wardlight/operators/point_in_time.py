@@ -94,9 +94,9 @@ def trailing_volume(events: DataFrame, keys=KEYS, days: int = fv.BASELINE_WINDOW
 def trailing_logins(events: DataFrame, keys=KEYS, days: int = fv.BASELINE_WINDOW_DAYS) -> DataFrame:
     """Per login event the number, centre and spread of the logins in the window before it.
 
-    Logins are held as day histograms over the 1,440 minutes. Of the two days
-    the window cuts, the minutes before or after the event's minute count whole;
-    its own minute is counted row by row.
+    Logins are held as minute histograms of the dial, at most 1,440 cells per user and day: whole
+    days are added up once per day, not per event. Of the two days the window cuts, the minutes before
+    or after the event's minute count whole; its own minute is counted row by row.
     """
     keys = list(keys)
     minute = (F.hour("occurred_at") * 60 + F.minute("occurred_at")).cast("long")
@@ -105,11 +105,18 @@ def trailing_logins(events: DataFrame, keys=KEYS, days: int = fv.BASELINE_WINDOW
                       F.unix_date(F.to_date("occurred_at")).cast("long").alias("_day"), minute.alias("_m")))
     cells = logins.groupBy(*keys, "_day", "_m").agg(
         F.count(F.lit(1)).alias("n"), F.min("_us").alias("first_us"))
-    day_cells = cells.groupBy(*keys, "_day").agg(F.sort_array(F.collect_list(
-        F.struct(F.col("_m").alias("minute"), "n", "first_us"))).alias("cells"))
-    frame = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-days, 0)
-    past = day_cells.select(*keys, "_day", F.collect_list(
-        F.struct(F.col("_day").alias("day"), "cells")).over(frame).alias("_past"))
+    age = F.col("_x") - F.col("_day")
+    parts = {"cur": age == 0, "full": age.between(1, days - 1), "old": age == days}
+    sums = [agg for name, at in parts.items() for agg in (
+        F.coalesce(F.sum(F.when(at, F.col("n"))), F.lit(0)).alias(name), F.min(F.when(at, F.col("first_us"))).alias(f"{name}_us"))]
+    merged = (cells.select(*keys, "_day", "_m", "n", "first_us", F.explode(F.sequence(F.col("_day"), F.col("_day") + days)).alias("_x"))
+              .groupBy(*keys, F.col("_x").alias("_day"), "_m").agg(*sums))
+    past = merged.groupBy(*keys, "_day").agg(
+        F.max("cur").alias("_any"), F.collect_list(F.struct(F.col("_m").alias("minute"), *(
+            c for name in parts for c in (name, f"{name}_us")))).alias("_past")).where(F.col("_any") > 0)
+    # One row per minute with logins, so that the logins of one user and day meet their histogram in many tasks.
+    past = past.select(*keys, "_day", F.sort_array("_past").alias("_past")).select(
+        "*", F.explode(F.expr("transform(filter(_past, c -> c.cur > 0), c -> c.minute)")).alias("_m"))
 
     own = F.col("_kind") == 0
     both = _with_shifted(logins, [*keys, "event_id", "_m"], days)
@@ -122,14 +129,11 @@ def trailing_logins(events: DataFrame, keys=KEYS, days: int = fv.BASELINE_WINDOW
         F.min(F.when(own, F.col("_us"))).over(before).alias("cur_first"),
         F.coalesce(F.sum((~own).cast("long")).over(after), F.lit(0)).alias("old_n"),
         (F.min(F.when(~own, F.col("_us"))).over(after) - days * DAY_US).alias("old_first")).where(own)
-    empty = "CAST(array() AS ARRAY<STRUCT<minute: BIGINT, n: BIGINT, first_us: BIGINT>>)"
-    gathered = F.expr(
-        f"concat(flatten(transform(filter(_past, p -> p.day > _day - {days} AND p.day < _day), p -> p.cells)), "
-        "flatten(transform(filter(_past, p -> p.day = _day), p -> filter(p.cells, c -> c.minute < _m))), "
-        f"flatten(transform(filter(_past, p -> p.day = _day - {days}), p -> filter(p.cells, c -> c.minute > _m))), "
-        f"CASE WHEN cur_n > 0 THEN array(named_struct('minute', _m, 'n', cur_n, 'first_us', cur_first)) ELSE {empty} END, "
-        f"CASE WHEN old_n > 0 THEN array(named_struct('minute', _m, 'n', old_n, 'first_us', old_first)) ELSE {empty} END)")
-    rows = cut.join(past, [*keys, "_day"]).withColumn("_cells", gathered)
+    counted = ("c.full + CASE WHEN c.minute < _m THEN c.cur WHEN c.minute > _m THEN c.old ELSE cur_n + old_n END")
+    first = ("least(c.full_us, CASE WHEN c.minute < _m THEN c.cur_us WHEN c.minute > _m THEN c.old_us "
+             "ELSE least(cur_first, old_first) END)")
+    gathered = F.expr(f"filter(transform(_past, c -> named_struct('minute', c.minute, 'n', {counted}, 'first_us', {first})), c -> c.n > 0)")
+    rows = cut.join(past, [*keys, "_day", "_m"]).withColumn("_cells", gathered)
     rows = rows.withColumn("login_samples", F.expr("aggregate(_cells, 0L, (acc, c) -> acc + c.n)"))
     return with_login_spread(rows, "_cells", "login_samples").select(
         "event_id", "login_samples", "login_hour_centre", "login_hour_scale")

@@ -67,12 +67,29 @@ def login_pattern(cells: DataFrame) -> DataFrame:
         "user_id", "login_samples", "login_hour_centre", "login_hour_scale")
 
 
+def central_minute(cells: str) -> str:
+    """SQL: the minute of cells struct(minute, n, first_us) nearest to all others on the dial; ties go to the one seen first.
+
+    Round the dial the summed distance is a broken line: it turns up by 2 n at each cell and down by
+    2 n opposite to it. One pass over the sorted turns carries distance and slope, so the work is
+    in proportion to the cells.
+    """
+    turns = (f"sort_array(concat(transform({cells}, x -> named_struct('at', x.minute, 'turn', 2 * x.n, 'first_us', x.first_us)), "
+             f"transform({cells}, x -> named_struct('at', pmod(x.minute + 720, 1440), 'turn', -2 * x.n, "
+             "'first_us', CAST(NULL AS BIGINT)))))")
+    cost = f"aggregate({cells}, 0L, (acc, x) -> acc + x.n * {dial_minutes('x.minute', '0')})"
+    slope = f"aggregate({cells}, 0L, (acc, x) -> acc + CASE WHEN pmod(-x.minute, 1440) < 720 THEN x.n ELSE -x.n END)"
+    best = "CAST(NULL AS STRUCT<cost: BIGINT, first_us: BIGINT, minute: BIGINT>)"
+    here = "s.cost + s.slope * (x.at - s.at)"
+    return (f"aggregate({turns}, named_struct('at', 0L, 'cost', {cost}, 'slope', {slope}, 'best', {best}), "
+            f"(s, x) -> named_struct('at', x.at, 'cost', {here}, 'slope', s.slope + CASE WHEN x.at > 0 THEN x.turn ELSE 0L END, "
+            f"'best', CASE WHEN x.first_us IS NULL THEN s.best ELSE least(s.best, named_struct("
+            f"'cost', {here}, 'first_us', x.first_us, 'minute', x.at)) END), s -> s.best.minute)")
+
+
 def with_login_spread(df: DataFrame, cells: str, samples: str) -> DataFrame:
     """Adds centre and scale in hours from a cells column struct(minute, n, first_us)."""
-    cost = (f"transform({cells}, c -> named_struct('cost', aggregate({cells}, 0L, "
-            f"(acc, x) -> acc + x.n * {dial_minutes('x.minute', 'c.minute')}), "
-            "'first_us', c.first_us, 'minute', c.minute))")
-    step = df.withColumn("_centre", F.expr(f"array_min({cost}).minute"))
+    step = df.withColumn("_centre", F.expr(central_minute(cells)))
     step = step.withColumn("_dist", F.expr(
         f"sort_array(transform({cells}, x -> named_struct('v', "
         f"{dial_minutes('x.minute', '_centre')}, 'n', x.n)))"))
