@@ -136,11 +136,34 @@ def s1(spark, sf):
     return converted(cert_logs.cert_events(spark, f"{root}/data", f"{root}/answers", row_cap=None))
 
 
-@query("l4_row_cap", EV + "SELECT least(250, count(*)) AS n FROM ev WHERE event_type = 'login_event' AND k % 10 <> 9")
+@query("s1_failed_rows", EV + " UNION ALL ".join(
+    f"SELECT '{kind}.csv' AS file, 'unreadable date' AS error, CAST(eid AS VARCHAR) AS id FROM ev WHERE event_type = '{_RAW_LOGS[kind][0]}' AND k % 10 = 9"
+    for kind in cert_logs.KINDS))
+def s1_failed(spark, sf):
+    root = write_logs(spark, sf)
+    failed = cert_logs.scan_logs(spark, f"{root}/data", f"{root}/answers").failures()
+    return failed.select("file", "error", F.get_json_object("record", "$.id").alias("id"))
+
+
+@query("a21_file_counts", EV + " UNION ALL ".join(
+    f"SELECT '{kind}.csv' AS file, count(*) AS read, count(*) FILTER (WHERE k % 10 <> 9) AS converted, count(*) FILTER (WHERE k % 10 = 9) AS failed "
+    f"FROM ev WHERE event_type = '{_RAW_LOGS[kind][0]}'" for kind in cert_logs.KINDS if kind != "email") + " UNION ALL SELECT 'email.csv', 0, 0, 0")
+def a21_files(spark, sf):
+    """One log is missing."""
+    root = scratch_path(spark, "some-logs")
+    for kind in cert_logs.KINDS:
+        if kind != "email":
+            raw_log(spark, sf, kind).write.option("header", True).option("escape", '"').csv(f"{root}/{kind}.csv")
+    return cert_logs.scan_logs(spark, root).counts().select("file", "read", "converted", "failed")
+
+
+@query("l4_row_cap", EV + "SELECT 'CERT-logon-' || CAST(eid AS VARCHAR) AS event_id FROM (SELECT * FROM ev WHERE event_type = 'login_event' ORDER BY eid LIMIT 250) WHERE k % 10 <> 9")
 def l4(spark, sf):
+    """The first rows of a log of several files, in the order of the files."""
     root = scratch_path(spark, "cap")
-    raw_log(spark, sf, "logon").where("date <> 'no date'").write.option("header", True).csv(f"{root}/logon.csv")
-    return cert_logs.cert_events(spark, root, row_cap=250).agg(F.count(F.lit(1)).alias("n"))
+    ids = raw_log(spark, sf, "logon").withColumn("_n", F.col("id").cast("bigint"))
+    ids.repartitionByRange(5, "_n").sortWithinPartitions("_n").drop("_n").write.option("header", True).csv(f"{root}/logon.csv")
+    return cert_logs.cert_events(spark, root, row_cap=250).select("event_id")
 
 
 @query("a21_load_statistics", EV + f"SELECT event_type, count(*) AS total, count(*) FILTER (WHERE is_anomaly) AS anomalous FROM ("

@@ -340,3 +340,10 @@ TREE_SEARCH_SPACE = {
     "criterion": ("gini", "entropy"),
 }
 FEATURE_PENALTY = 0.03
+
+# What a log lacks: kind, flag of ``cert_logs.column_flags``, and the note.
+LOG_NOTES = (
+    ("file", "has_removable_flags", "no removable media columns: rows count as file access"),
+    ("http", "has_activity", "no activity column: the URL decides"),
+    ("http", "has_size", "no size column: content length instead"),
+)

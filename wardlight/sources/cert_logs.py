@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from wardlight.sources.files import csv_header, existing_file, list_files
 
 DATE_FORMAT = "M/d/yyyy H:mm:ss"
 KINDS = ("logon", "device", "file", "http", "email")
+CORRUPT = "_corrupt_record"
 
 
 def log_time(c="date") -> Column:
@@ -201,36 +203,92 @@ CONVERTERS = {"logon": logon_events, "device": device_events, "file": file_event
               "http": http_events, "email": email_events}
 
 
-def convert(kind: str, raw: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of one log as unified events; rows without a readable date are left out."""
-    dated = raw.withColumn("ts", log_time()).where(F.col("ts").isNotNull() & F.col("id").isNotNull())
-    return CONVERTERS[kind](label_windows(dated, windows))
+def checked(raw: DataFrame) -> DataFrame:
+    """Log rows with ``ts`` and ``error``: why a row cannot be converted, NULL if it can."""
+    no_id = F.coalesce(strip(F.col("id")), F.lit("")) == ""
+    return raw.withColumn("ts", log_time()).withColumn(
+        "error", F.when(no_id, "no id").when(F.col("ts").isNull(), "unreadable date"))
 
 
-def cert_events(spark: SparkSession, data_dir: str, answers_dir: str | None = None,
-                row_cap: int | None = None) -> DataFrame:
-    """All present logs as one frame; at most ``row_cap`` rows per file if it is set."""
-    windows = (malicious_windows(spark, answers_dir) if answers_dir
-               else malicious_windows(spark, data_dir + "/no-answers"))
-    parts = []
+def convert(kind: str, raw: DataFrame, windows: DataFrame) -> DataFrame:
+    """Rows of one log as unified events; rows with an error are left to ``LogScan.failures``."""
+    rows = raw if "error" in raw.columns else checked(raw)
+    return CONVERTERS[kind](label_windows(rows.where(F.col("error").isNull()).drop("error", CORRUPT), windows))
+
+
+@dataclass(frozen=True)
+class LogScan:
+    """The present logs with checked rows, and the kinds that were not found."""
+
+    spark: SparkSession
+    logs: dict[str, DataFrame]
+    windows: DataFrame
+    missing: tuple[str, ...]
+
+    def events(self) -> DataFrame:
+        """Convertible rows of all logs as one frame."""
+        parts = [convert(kind, rows, self.windows) for kind, rows in self.logs.items()]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], UNIFIED_EVENT)
+
+    def failures(self) -> DataFrame:
+        """file, error, record: rows that cannot be converted, as read (the raw line where its fields do not fit the header)."""
+        parts = [self._failed(kind, rows) for kind, rows in self.logs.items()]
+        empty = self.spark.createDataFrame([], "file string, error string, record string")
+        return reduce(DataFrame.unionByName, parts) if parts else empty
+
+    def _failed(self, kind: str, rows: DataFrame) -> DataFrame:
+        fields = F.to_json(F.struct(*[c for c in rows.columns if c not in ("ts", "error", CORRUPT)]))
+        record = F.coalesce(F.col(CORRUPT), fields) if CORRUPT in rows.columns else fields
+        return rows.where(F.col("error").isNotNull()).select(F.lit(f"{kind}.csv").alias("file"), "error", record.alias("record"))
+
+    def counts(self) -> DataFrame:
+        """File, read, converted, failed and note: a missing file, or what missing columns change. Reads ids and dates only."""
+        rows = [(f"{kind}.csv", 0, 0, 0, "not found") for kind in self.missing]
+        found = self.spark.createDataFrame(rows, "file string, read bigint, converted bigint, failed bigint, note string")
+        for kind, log in self.logs.items():
+            flags = column_flags(log.columns)
+            lacking = [text for need, flag, text in fv.LOG_NOTES if need == kind and not flags[flag]]
+            found = found.unionByName(log.agg(
+                F.count(F.lit(1)).alias("read"), F.count_if(F.col("error").isNull()).alias("converted"),
+                F.count_if(F.col("error").isNotNull()).alias("failed")).select(
+                F.lit(f"{kind}.csv").alias("file"), "read", "converted", "failed", F.lit("; ".join(lacking) or None).cast("string").alias("note")))
+        return found
+
+
+def scan_logs(spark: SparkSession, data_dir: str, answers_dir: str | None = None, row_cap: int | None = None,
+              line_breaks: bool = True) -> LogScan:
+    """Read every present log; with ``row_cap`` the first rows of each, in the order of the file.
+
+    Quoted fields may hold line breaks, so a file is read by one task: a large log should come as a
+    folder of parts, or be read with ``line_breaks=False`` if its fields hold none.
+    """
+    windows = malicious_windows(spark, answers_dir or data_dir + "/no-answers")
+    logs, missing = {}, []
     for kind in KINDS:
         path = existing_file(spark, data_dir, f"{kind}.csv")
         if path is None:
+            missing.append(kind)
             continue
-        raw = read_log(spark, path)
+        raw = read_log(spark, path, line_breaks)
         if row_cap is not None:
-            raw = raw.limit(row_cap)
-        parts.append(convert(kind, raw, windows))
-    if not parts:
-        return spark.createDataFrame([], UNIFIED_EVENT)
-    return reduce(DataFrame.unionByName, parts)
+            place = ("_metadata.file_name", "_metadata.file_block_start")
+            raw = raw.select("*", *(F.col(c).alias(f"_at{i}") for i, c in enumerate(place)), F.monotonically_increasing_id().alias("_at2"))
+            raw = raw.orderBy("_at0", "_at1", "_at2").limit(row_cap).drop("_at0", "_at1", "_at2")
+        logs[kind] = checked(raw)
+    return LogScan(spark, logs, windows, tuple(missing))
+
+
+def cert_events(spark: SparkSession, data_dir: str, answers_dir: str | None = None,
+                row_cap: int | None = None) -> DataFrame:
+    """All present logs as one frame; see ``scan_logs`` for counts and failures."""
+    return scan_logs(spark, data_dir, answers_dir, row_cap).events()
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """One log as text columns named by its header, in lower case."""
+def read_log(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """One log as text columns named by its header, in lower case, and the raw line where its fields do not fit."""
     header = csv_header(spark, path)
-    schema = ", ".join(f"`{h.lower()}` string" for h in header)
-    return (spark.read.schema(schema).option("header", True).option("multiLine", False)
+    schema = ", ".join(f"`{h.lower()}` string" for h in header) + f", {CORRUPT} string"
+    return (spark.read.schema(schema).option("header", True).option("multiLine", line_breaks)
             .option("escape", '"').option("enforceSchema", True).csv(path))
 
 

@@ -17,7 +17,8 @@ def write_normalized(normalized: DataFrame, events_path: str, quarantine_path: s
     """
     normalized = materialize(normalized.sparkSession, normalized, "checked")
     good = good_rows(normalized).withColumn("event_date", F.to_date("timestamp"))
-    good.write.mode("append").partitionBy("event_date").parquet(events_path)
+    # Rows of a day meet before they are written: files by size of the day, not tasks times days.
+    good.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(events_path)
     quarantine_rows(normalized).write.mode("append").json(quarantine_path)
 
 
