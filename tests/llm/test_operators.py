@@ -209,6 +209,42 @@ def test_toxicity_search_is_exact_and_learns(spark, empty):
     assert {r.score for r in toxicity.score_documents(mixed, index).collect()} == {index.empty}
 
 
+def test_toxicity_block_maxima_against_dense_scores(spark):
+    """All terms, frequent ones among them, repeated examples (ties) and a left-out one."""
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(30)]
+    rows, labels = [], []
+    for i in range(700):
+        words = list(rng.choice(common, 12)) + list(rng.choice(WORDS, 6))
+        rows.append((i, " ".join(words) if i % 9 else "c1 c2 c3 w4", "", 1, 1, 1))
+        labels.append((i, int(i % 5 == 0)))
+    docs, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    index = toxicity.fit(docs, marks)
+    lengths = np.diff(index.first)
+    assert (lengths * toxicity.FREQUENT > len(index.labels)).sum() >= 30 and (lengths < 20).any()
+    dense = np.zeros((len(index.labels), len(index.terms)), np.float32)
+    for term in range(len(index.terms)):
+        at = slice(index.first[term], index.first[term + 1])
+        dense[index.examples[at], term] = index.weights[at]
+    assert np.allclose((dense.astype(float) ** 2).sum(axis=1), 1, atol=1e-4)
+    for i in range(0, len(dense), 7):
+        terms = np.flatnonzero(dense[i])
+        skip = i if i % 2 else -1
+        found, cosine = index.search(terms, dense[i, terms].astype(float), 25, skip)
+        scores = dense @ dense[i]
+        scores[skip] = 0.0 if skip >= 0 else scores[skip]
+        order = np.lexsort((np.arange(len(scores)), -scores.round(5)))[:25]
+        assert np.allclose(np.sort(cosine), np.sort(scores[order]), atol=1e-5) and (np.diff(cosine) <= 0).all()
+        assert all(found[j] < found[j + 1] for j in range(len(found) - 1) if cosine[j] == cosine[j + 1])
+    long = spark.createDataFrame([(1, " ".join(WORDS * 60), "", 1, 1, 1), (2, "no such word at all", "", 1, 1, 1)], SCHEMA)
+    got = {r.doc_id: r for r in toxicity.score_documents(long, index).collect()}
+    assert 0 <= got[1].score <= 1 and got[1].evidence and got[2].score == index.empty and got[2].evidence == []
+    kept = toxicity.keep_below(docs, index)
+    assert kept.columns == docs.columns
+    low = {r.doc_id for r in toxicity.score_documents(docs, index).collect() if r.score < 0.5}
+    assert {r.doc_id for r in kept.collect()} == low
+
+
 def test_toxicity_indexes_every_term(spark):
     """Each toxic pair has words of its own, seen in two examples only, among 1200 commoner ones."""
     ids = [i for i in range(2000) if __import__("zlib").crc32(str(i).encode()) % 5]

@@ -1,8 +1,10 @@
-"""Operator 6: toxicity by the nearest labelled examples under weighted TF-IDF cosine.
+"""Operator 6: toxicity by the nearest labelled examples under TF-IDF cosine, with block maxima.
 
-The search is exact over every term of the labelled examples: all examples that share a
-term with the text are scored. A term's idf is raised by how unevenly it is spread over
-the two labels.
+The space has every term of the labelled examples; idf counts all documents and is raised by
+how unevenly the term is spread over the two labels. The index is inverted: rare terms
+are lists of postings, all of which are added up; a frequent term also has its highest weight in each block
+of examples. Rare scores and block maxima bound every block, and only blocks
+whose bound reaches the k-th best cosine are scored in full, so the k nearest are exact.
 """
 
 from __future__ import annotations
@@ -13,16 +15,21 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlight.llm import textscan
-from wardlight.llm.stored import store
+from wardlight.llm.stored import discard, store
 
 EXAMPLES = 20_000    # labelled rows to learn from, at most
 TERMS = None         # terms kept, those most unevenly spread over the two labels; None keeps all
 FLOOR = 0.1          # weight of a term that is spread evenly
 NEIGHBOURS = 25
+CALIBRATION = 5      # one in so many examples is set apart to calibrate votes
+SLACK = 1e-5         # of single precision sums
+BLOCK = 8            # examples in a block of the index
+FREQUENT = 16        # a term of more than one in so many examples has block maxima
 
 
 @dataclass
@@ -38,33 +45,50 @@ class Index:
     weights: np.ndarray
     knots: tuple             # votes and calibrated scores
     empty: float             # score of a text without any of the terms
-    rows: dict = field(default_factory=dict)   # weights by example of frequent terms, filled where they are used
+    rows: dict = field(default_factory=dict)   # weights and block maxima of frequent terms, filled where they are used
 
-    def _row(self, term: int) -> np.ndarray:
+    def _row(self, term: int) -> tuple[np.ndarray, np.ndarray]:
         if term not in self.rows:
-            self.rows[term] = np.zeros(len(self.labels), np.float32)
+            row = np.zeros((-(-len(self.labels) // BLOCK), BLOCK), np.float32)
             at = slice(self.first[term], self.first[term + 1])
-            self.rows[term][self.examples[at]] = self.weights[at]
+            row.ravel()[self.examples[at]] = self.weights[at]
+            self.rows[term] = row, row.max(axis=1)
         return self.rows[term]
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine, ties by position; ``skip`` is left out."""
+        """The k examples of highest cosine above 0, ties by position; ``skip`` is left out."""
         begins, ends = self.first[terms], self.first[terms + 1]
-        frequent = (ends - begins) * 16 > len(self.labels)
+        frequent = (ends - begins) * FREQUENT > len(self.labels)
         lists = [slice(a, b) for a, b in zip(begins[~frequent].tolist(), ends[~frequent].tolist(), strict=True)]
-        scores = np.zeros(len(self.labels), np.float32)
+        blocks = -(-len(self.labels) // BLOCK)
+        scores = np.zeros(blocks * BLOCK, np.float32)
         if lists:
             shares = np.repeat(weights[~frequent], (ends - begins)[~frequent])
             shares *= np.concatenate([self.weights[at] for at in lists])
             scores += np.bincount(np.concatenate([self.examples[at] for at in lists]), shares, len(scores))
-        for term, weight in zip(terms[frequent].tolist(), weights[frequent].tolist(), strict=True):
-            scores += np.float32(weight) * self._row(term)
-        if skip >= 0:
-            scores[skip] = 0.0
-        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
-        found = np.flatnonzero((scores >= least) & (scores > 0))
-        found = found[np.lexsort((found, -scores[found]))[:k]]
-        return found, scores[found]
+        scores = scores.reshape(blocks, BLOCK)
+        rows = [(np.float32(w), *self._row(t)) for t, w in zip(terms[frequent].tolist(), weights[frequent].tolist(), strict=True)]
+        bound = scores.max(axis=1)
+        for weight, _, highest in rows:
+            bound += weight * highest
+
+        def scored(some: np.ndarray) -> np.ndarray:
+            found = scores[some]
+            for weight, row, _ in rows:
+                found += weight * row[some]
+            if skip >= 0:
+                found[some == skip // BLOCK, skip % BLOCK] = 0.0
+            return found
+
+        few = min(blocks, 2 * k // BLOCK + 4)
+        best = np.sort(scored(np.argpartition(bound, blocks - few)[blocks - few:]).ravel())
+        least = best[-k] if len(best) >= k else 0.0
+        some = np.flatnonzero(bound * (1 + SLACK) + SLACK >= least)   # the sums of a bound may round below its scores
+        cosine = scored(some).ravel()
+        places = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        hit = np.flatnonzero((cosine >= least) & (cosine > 0))
+        hit = hit[np.lexsort((places[hit], -cosine[hit]))[:k]]
+        return places[hit], cosine[hit]
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))
@@ -129,78 +153,112 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
 
     bags = store(spark, _labelled(docs, labels, examples).select("doc_id", "text", "toxic").mapInArrow(
         bag, "doc_id bigint, toxic int, terms array<bigint>, counts array<int>"), "toxicity-examples")
-    table = bags.select("doc_id", "toxic", "terms", "counts").toArrow().sort_by("doc_id")
-    n, toxic = len(table), table["toxic"].to_numpy().astype(float)
-    rate = toxic.mean() if n else 0.0
-    lists = table["terms"].combine_chunks()
-    row = np.repeat(np.arange(n), lists.value_lengths().to_numpy(zero_copy_only=False)) if n else np.zeros(0, np.int64)
-    hashes = lists.flatten().to_numpy().view(np.uint64)
-    counts = table["counts"].combine_chunks().flatten().to_numpy()
-    known, term = np.unique(hashes, return_inverse=True)
-    rows = np.bincount(term, minlength=len(known))
-    expected = rows * rate
-    uneven = (np.abs(np.bincount(term, toxic[row], len(known)) - expected) - 0.5) / np.sqrt(expected + 0.5)
-    if terms is not None and terms < len(known):
-        chosen = np.sort(np.lexsort((known, -uneven))[:terms])
-        keep = np.isin(term, chosen)
-        known, uneven, row, counts = known[chosen], uneven[chosen], row[keep], counts[keep]
-        term = np.searchsorted(chosen, term[keep])
-    idf = np.zeros(0)
-    if len(known):
-        sent = spark.sparkContext.broadcast(known)
-
-        def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = sent.value
-            total = np.zeros(len(known) + 1, np.int64)
+    frequency = _frequencies(docs, bags)
+    # Votes of a fifth of the examples, by an index of the others, against their labels: a rising step function.
+    apart = F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(CALIBRATION)) == 0
+    index = _index(bags.filter(~apart), frequency, terms)
+    if len(index.labels):
+        sent = spark.sparkContext.broadcast(index)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = sent.value
             for batch in batches:
-                total[-1] += batch.num_rows
+                found = []
+                for hashes, counts in zip(batch.column(1), batch.column(2), strict=True):
+                    at, hit = _known(index.terms, hashes.values.to_numpy().view(np.uint64))
+                    vector = _vector(at, counts.values.to_numpy()[hit], index.idf)
+                    found.append(index.vote(*index.search(at, vector, NEIGHBOURS)) if len(at) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["toxic", "vote"])
+
+        found = bags.filter(apart).select("toxic", "terms", "counts").mapInArrow(votes, "toxic int, vote double").toArrow()
+        found = found.filter(pc.is_valid(found["vote"]))
+        sent.destroy()
+        if len(found):
+            knots = rising(found["vote"].to_numpy(), found["toxic"].to_numpy().astype(float))
+            index = None
+            index = _index(bags, frequency, terms)
+            index.knots = knots
+            discard(bags)
+            return index
+    index = _index(bags, frequency, terms)
+    discard(bags)
+    return index
+
+
+def _known(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the known ones among sorted hashes, and their positions."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    hit = np.flatnonzero(known[at] == hashes)
+    return at[hit], hit
+
+
+def _frequencies(docs: DataFrame, bags: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted terms of the examples, the documents that hold each, and the number of documents."""
+    spark = docs.sparkSession
+    known = np.sort(bags.select(F.explode("terms").alias("t")).distinct().toArrow()["t"].to_numpy().view(np.uint64))
+    sent = spark.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        total = np.zeros(len(known) + 1, np.int64)
+        for batch in batches:
+            total[-1] += batch.num_rows
+            if len(known):
                 for _, hashes, bounds in textscan.hashed_rows(batch.column(0), plain=True):
                     total[:-1] += np.bincount(_counts(hashes, bounds, known)[1], minlength=len(known))
-            seen = np.flatnonzero(total)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
-        summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(frequencies, "term bigint, n bigint")
-        summed = summed.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-        df = np.zeros(len(known) + 1)
-        df[summed["term"].to_numpy()] = summed["n"].to_numpy()
-        sent.destroy()
-        idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1.0) * (FLOOR + np.maximum(uneven, 0.0))
-    return _index(spark, known, idf, table["doc_id"].to_numpy(), toxic, row, term, counts, rate)
-
-
-def _index(spark, terms, idf, ids, labels, row, term, counts, rate: float) -> Index:
-    """row, term and counts: the examples' terms, by row."""
-    used = np.bincount(row, minlength=len(labels)) > 0
-    place = np.cumsum(used) - 1
-    weights = (1.0 + np.log(counts)) * idf[term] if len(row) else np.zeros(0)
-    weights = weights / np.sqrt(np.bincount(row, weights * weights, len(labels)))[row]
-    order = np.argsort(term, kind="stable")
-    empty = labels[~used]
-    index = Index(terms, idf, labels[used], ids[used], np.searchsorted(term[order], np.arange(len(terms) + 1)).astype(np.int32),
-                  place[row[order]].astype(np.int32), weights[order].astype(np.float32),
+    summed = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "term bigint, n bigint")
+    summed = summed.groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sent.destroy()
+    frequency = np.zeros(len(known) + 1, np.int64)
+    frequency[summed["term"].to_numpy()] = summed["n"].to_numpy()
+    return known, frequency[:-1], int(frequency[-1])
+
+
+def _index(bags: DataFrame, frequency: tuple[np.ndarray, np.ndarray, int], terms: int | None) -> Index:
+    """The inverted index of some examples. Spark weighs and sorts the postings; the driver gets them once, as 12 bytes each."""
+    spark = bags.sparkSession
+    heads = bags.select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.size("terms") > 0).alias("used")).toArrow().sort_by("doc_id")
+    used = heads["used"].to_numpy(zero_copy_only=False)
+    ids, toxic = heads["doc_id"].to_numpy(), heads["toxic"].to_numpy().astype(float)
+    rate = toxic.mean() if len(toxic) else 0.0
+    spread = bags.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(
+        F.count("*").cast("int").alias("n"), F.sum("toxic").cast("int").alias("bad")).toArrow()
+    own = spread["t"].to_numpy().view(np.uint64)
+    order = np.argsort(own)
+    own, expected, bad = own[order], spread["n"].to_numpy()[order] * rate, spread["bad"].to_numpy()[order]
+    uneven = (np.abs(bad - expected) - 0.5) / np.sqrt(expected + 0.5)
+    if terms is not None and terms < len(own):
+        chosen = np.sort(np.lexsort((own, -uneven))[:terms])
+        own, uneven = own[chosen], uneven[chosen]
+    seen = frequency[1][np.searchsorted(frequency[0], own)] if len(own) else np.zeros(0)
+    idf = (np.log((1 + frequency[2]) / (1 + seen)) + 1.0) * (FLOOR + np.maximum(uneven, 0.0))
+    empty = toxic[~used]
+    index = Index(own, idf, toxic[used], ids[used], np.zeros(len(own) + 1, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32),
                   (np.array([0.0, 1.0]), np.array([0.0, 1.0])), float((empty.sum() + rate) / (len(empty) + 1)))
-    n = int(used.sum())
-    if not n:
+    if not len(own):
         return index
-    # Votes of the examples, each without itself, against their labels: a rising step function.
-    sent = spark.sparkContext.broadcast(index)
-
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = sent.value
-        term = np.repeat(np.arange(len(index.terms)), np.diff(index.first))
-        order = np.argsort(index.examples, kind="stable")
-        first = np.searchsorted(index.examples[order], np.arange(len(index.labels) + 1))
+    sent = spark.sparkContext.broadcast((own, idf, index.ids))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf, ids = sent.value
         for batch in batches:
-            out = []
-            for i in batch.column(0).to_pylist():
-                at = order[first[i]:first[i + 1]]
-                out.append(index.vote(*index.search(term[at], index.weights[at], NEIGHBOURS, skip=i)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "vote"])
-
-    parts = max(1, min(24, n // 100))
-    found = spark.range(0, n, 1, parts).mapInArrow(votes, "id bigint, vote double").toArrow().sort_by("id")
+            for doc, hashes, counts in zip(*batch.columns, strict=True):
+                at, hit = _known(known, hashes.values.to_numpy().view(np.uint64))
+                weights = _vector(at, counts.values.to_numpy()[hit], idf).astype(np.float32) if len(at) else np.zeros(0, np.float32)
+                example = np.full(len(at), np.searchsorted(ids, doc.as_py()), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(example), pa.array(weights)],
+                                                 names=["term", "example", "weight"])
+
+    postings = bags.filter(F.size("terms") > 0).select("doc_id", "terms", "counts").mapInArrow(weigh, "term int, example int, weight float")
+    table = postings.orderBy("term", "example").toArrow()
     sent.destroy()
-    index.knots = rising(found["vote"].to_numpy(), index.labels)
+    index.first = np.searchsorted(table["term"].to_numpy(), np.arange(len(own) + 1)).astype(np.int32)
+    index.examples, index.weights = table["example"].to_numpy(), table["weight"].to_numpy()
     return index
 
 
