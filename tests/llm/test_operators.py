@@ -200,7 +200,7 @@ def test_toxicity_search_is_exact_and_learns(spark, empty):
         dense[index.examples[at], term] = index.weights[at]
     for row in dense[:40]:
         terms = np.flatnonzero(row)
-        found, cosine = index.search(terms, row[terms], 7)
+        found, cosine = index.search([(terms, row[terms])], 7)[0]
         best = np.sort(dense @ row)[::-1][:len(found)]
         assert np.allclose(cosine, best) and len(found) == min(7, (dense @ row > 0).sum())
     assert toxicity.score_documents(empty, index).count() == 0
@@ -210,7 +210,7 @@ def test_toxicity_search_is_exact_and_learns(spark, empty):
 
 
 def test_toxicity_block_maxima_against_dense_scores(spark):
-    """All terms, frequent ones among them, repeated examples (ties) and a left-out one."""
+    """All terms, frequent ones among them, and repeated examples (ties)."""
     rng = np.random.default_rng(11)
     common = [f"c{i}" for i in range(30)]
     rows, labels = [], []
@@ -227,15 +227,13 @@ def test_toxicity_block_maxima_against_dense_scores(spark):
         at = slice(index.first[term], index.first[term + 1])
         dense[index.examples[at], term] = index.weights[at]
     assert np.allclose((dense.astype(float) ** 2).sum(axis=1), 1, atol=1e-4)
-    for i in range(0, len(dense), 7):
-        terms = np.flatnonzero(dense[i])
-        skip = i if i % 2 else -1
-        found, cosine = index.search(terms, dense[i, terms].astype(float), 25, skip)
-        scores = dense @ dense[i]
-        scores[skip] = 0.0 if skip >= 0 else scores[skip]
-        order = np.lexsort((np.arange(len(scores)), -scores.round(5)))[:25]
-        assert np.allclose(np.sort(cosine), np.sort(scores[order]), atol=1e-5) and (np.diff(cosine) <= 0).all()
-        assert all(found[j] < found[j + 1] for j in range(len(found) - 1) if cosine[j] == cosine[j + 1])
+    texts = [(terms, row[terms].astype(float)) for row in dense[::5] for terms in (np.flatnonzero(row),)]
+    for row, (found, cosine) in zip(dense[::5], index.search(texts, 25), strict=True):
+        scores = dense @ row
+        best = np.sort(scores)[::-1][:25]
+        assert np.allclose(cosine, best, atol=1e-5) and (np.diff(cosine) <= 0).all()
+        assert np.allclose(scores[found], cosine, atol=1e-5) and len(set(found.tolist())) == 25
+        assert all(found[j] < found[j + 1] for j in range(24) if cosine[j] == cosine[j + 1])
     long = spark.createDataFrame([(1, " ".join(WORDS * 60), "", 1, 1, 1), (2, "no such word at all", "", 1, 1, 1)], SCHEMA)
     got = {r.doc_id: r for r in toxicity.score_documents(long, index).collect()}
     assert 0 <= got[1].score <= 1 and got[1].evidence and got[2].score == index.empty and got[2].evidence == []

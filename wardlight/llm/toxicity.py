@@ -2,16 +2,18 @@
 
 The space has every term of the labelled examples; idf counts all documents and is raised by
 how unevenly the term is spread over the two labels. The index is inverted: rare terms
-are lists of postings, all of which are added up; a frequent term also has its highest weight in each block
-of examples. Rare scores and block maxima bound every block, and only blocks
-whose bound reaches the k-th best cosine are scored in full, so the k nearest are exact.
+are lists of postings, all of which are added up; a frequent term is a row over all examples, with its
+highest weight in each block of examples. Rare scores and block maxima bound every block, and only
+blocks whose bound reaches the k-th best cosine are scored in full, so the k nearest are exact. Texts are searched
+some at a time, so that bounds and scores are products of matrices; examples lie in the order of their
+commonest terms, which keeps a language together.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,11 @@ TERMS = None         # terms kept, those most unevenly spread over the two label
 FLOOR = 0.1          # weight of a term that is spread evenly
 NEIGHBOURS = 25
 CALIBRATION = 5      # one in so many examples is set apart to calibrate votes
+BLOCK = 16           # examples in a block of the index
+FREQUENT = 24        # a term of more than one in so many examples has block maxima
+TOGETHER = 64        # texts searched at once
+LEAD = 3             # commonest terms that order the examples
 SLACK = 1e-5         # of single precision sums
-BLOCK = 8            # examples in a block of the index
-FREQUENT = 16        # a term of more than one in so many examples has block maxima
 
 
 @dataclass
@@ -45,50 +49,63 @@ class Index:
     weights: np.ndarray
     knots: tuple             # votes and calibrated scores
     empty: float             # score of a text without any of the terms
-    rows: dict = field(default_factory=dict)   # weights and block maxima of frequent terms, filled where they are used
-
-    def _row(self, term: int) -> tuple[np.ndarray, np.ndarray]:
-        if term not in self.rows:
-            row = np.zeros((-(-len(self.labels) // BLOCK), BLOCK), np.float32)
-            at = slice(self.first[term], self.first[term + 1])
-            row.ravel()[self.examples[at]] = self.weights[at]
-            self.rows[term] = row, row.max(axis=1)
-        return self.rows[term]
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0, ties by position; ``skip`` is left out."""
-        begins, ends = self.first[terms], self.first[terms + 1]
-        frequent = (ends - begins) * FREQUENT > len(self.labels)
-        lists = [slice(a, b) for a, b in zip(begins[~frequent].tolist(), ends[~frequent].tolist(), strict=True)]
-        blocks = -(-len(self.labels) // BLOCK)
-        scores = np.zeros(blocks * BLOCK, np.float32)
-        if lists:
-            shares = np.repeat(weights[~frequent], (ends - begins)[~frequent])
-            shares *= np.concatenate([self.weights[at] for at in lists])
-            scores += np.bincount(np.concatenate([self.examples[at] for at in lists]), shares, len(scores))
-        scores = scores.reshape(blocks, BLOCK)
-        rows = [(np.float32(w), *self._row(t)) for t, w in zip(terms[frequent].tolist(), weights[frequent].tolist(), strict=True)]
-        bound = scores.max(axis=1)
-        for weight, _, highest in rows:
-            bound += weight * highest
-
-        def scored(some: np.ndarray) -> np.ndarray:
-            found = scores[some]
-            for weight, row, _ in rows:
-                found += weight * row[some]
-            if skip >= 0:
-                found[some == skip // BLOCK, skip % BLOCK] = 0.0
-            return found
-
-        few = min(blocks, 2 * k // BLOCK + 4)
-        best = np.sort(scored(np.argpartition(bound, blocks - few)[blocks - few:]).ravel())
-        least = best[-k] if len(best) >= k else 0.0
-        some = np.flatnonzero(bound * (1 + SLACK) + SLACK >= least)   # the sums of a bound may round below its scores
-        cosine = scored(some).ravel()
-        places = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        hit = np.flatnonzero((cosine >= least) & (cosine > 0))
-        hit = hit[np.lexsort((places[hit], -cosine[hit]))[:k]]
-        return places[hit], cosine[hit]
+    dense: tuple | None = None   # frequent terms as matrices, filled where they are used
+
+    def _matrices(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Column of each term (-1: rare), weights by block, example and column, and their maxima by column and block."""
+        if self.dense is None:
+            lengths, blocks = np.diff(self.first), -(-len(self.labels) // BLOCK)
+            frequent = np.flatnonzero(lengths * FREQUENT > len(self.labels))
+            column = np.full(len(lengths), -1, np.int32)
+            column[frequent] = np.arange(len(frequent))
+            rows = np.zeros((blocks * BLOCK, len(frequent)), np.float32)
+            for number, term in enumerate(frequent.tolist()):
+                at = slice(self.first[term], self.first[term + 1])
+                rows[self.examples[at], number] = self.weights[at]
+            rows = rows.reshape(blocks, BLOCK, len(frequent))
+            self.dense = column, rows, np.ascontiguousarray(rows.max(axis=1).T)
+        return self.dense
+
+    def search(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (terms, weights): the k examples of highest cosine above 0, ties by position, and the cosines."""
+        column, rows, highest = self._matrices()
+        blocks, n, width = len(rows), len(rows) * BLOCK, rows.shape[2]
+        weights = np.zeros((len(texts), width), np.float32)
+        for i, (terms, shares) in enumerate(texts):
+            at = column[terms]
+            weights[i, at[at >= 0]] = shares[at >= 0]
+        bound = weights @ highest
+        order = np.argsort(bound.argmax(axis=1), kind="stable")   # texts of one language together
+        found: list = [None] * len(texts)
+        for start in range(0, len(texts), TOGETHER):
+            some = order[start:start + TOGETHER]
+            scores = np.stack([self._rare(*texts[i], column, n) for i in some]).reshape(len(some), blocks, BLOCK)
+            bounds = bound[some] + scores.max(axis=2)
+            least, few = np.zeros(len(some), np.float32), min(blocks, 2 * k // BLOCK + 4)
+            for i in range(len(some)):   # a lower limit of the k-th best cosine, from the most promising blocks
+                first = np.argpartition(bounds[i], blocks - few)[blocks - few:]
+                best = (scores[i, first] + rows[first] @ weights[some[i]]).ravel()
+                least[i] = np.partition(best, -k)[-k] if len(best) >= k else 0.0
+            open_ = np.flatnonzero((bounds * (1 + SLACK) + SLACK >= least[:, None]).any(axis=0))
+            part = rows if 2 * len(open_) > blocks else rows[open_]
+            open_ = np.arange(blocks) if part is rows else open_
+            cosine = scores[:, open_].reshape(len(some), -1) + weights[some] @ part.reshape(len(part) * BLOCK, width).T
+            places = (open_[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            for i, text in enumerate(some):
+                hit = np.flatnonzero((cosine[i] >= least[i] * (1 - SLACK) - SLACK) & (cosine[i] > 0))
+                hit = hit[np.lexsort((places[hit], -cosine[i, hit]))[:k]]
+                found[text] = places[hit], cosine[i, hit]
+        return found
+
+    def _rare(self, terms: np.ndarray, shares: np.ndarray, column: np.ndarray, n: int) -> np.ndarray:
+        """What rare terms add to the cosine of every example."""
+        rare = column[terms] < 0
+        begins, ends = self.first[terms[rare]], self.first[terms[rare] + 1]
+        if not len(begins):
+            return np.zeros(n, np.float32)
+        lists = [slice(a, b) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+        added = np.repeat(shares[rare], ends - begins) * np.concatenate([self.weights[at] for at in lists])
+        return np.bincount(np.concatenate([self.examples[at] for at in lists]), added, n).astype(np.float32)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))
@@ -163,11 +180,11 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                found = []
+                texts = []
                 for hashes, counts in zip(batch.column(1), batch.column(2), strict=True):
                     at, hit = _known(index.terms, hashes.values.to_numpy().view(np.uint64))
-                    vector = _vector(at, counts.values.to_numpy()[hit], index.idf)
-                    found.append(index.vote(*index.search(at, vector, NEIGHBOURS)) if len(at) else None)
+                    texts.append((at, _vector(at, counts.values.to_numpy()[hit], index.idf)))
+                found = [index.vote(*near) if len(near[0]) else None for near in index.search(texts, NEIGHBOURS)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["toxic", "vote"])
 
         found = bags.filter(apart).select("toxic", "terms", "counts").mapInArrow(votes, "toxic int, vote double").toArrow()
@@ -222,15 +239,16 @@ def _frequencies(docs: DataFrame, bags: DataFrame) -> tuple[np.ndarray, np.ndarr
 def _index(bags: DataFrame, frequency: tuple[np.ndarray, np.ndarray, int], terms: int | None) -> Index:
     """The inverted index of some examples. Spark weighs and sorts the postings; the driver gets them once, as 12 bytes each."""
     spark = bags.sparkSession
-    heads = bags.select("doc_id", F.col("toxic").cast("int").alias("toxic"), (F.size("terms") > 0).alias("used")).toArrow().sort_by("doc_id")
-    used = heads["used"].to_numpy(zero_copy_only=False)
-    ids, toxic = heads["doc_id"].to_numpy(), heads["toxic"].to_numpy().astype(float)
-    rate = toxic.mean() if len(toxic) else 0.0
     spread = bags.select("toxic", F.explode("terms").alias("t")).groupBy("t").agg(
         F.count("*").cast("int").alias("n"), F.sum("toxic").cast("int").alias("bad")).toArrow()
     own = spread["t"].to_numpy().view(np.uint64)
     order = np.argsort(own)
-    own, expected, bad = own[order], spread["n"].to_numpy()[order] * rate, spread["bad"].to_numpy()[order]
+    own, held, bad = own[order], spread["n"].to_numpy()[order], spread["bad"].to_numpy()[order]
+    heads = _heads(bags, own, held)
+    used = heads["used"].to_numpy(zero_copy_only=False)
+    ids, toxic = heads["doc_id"].to_numpy(), heads["toxic"].to_numpy().astype(float)
+    rate = toxic.mean() if len(toxic) else 0.0
+    expected = held * rate
     uneven = (np.abs(bad - expected) - 0.5) / np.sqrt(expected + 0.5)
     if terms is not None and terms < len(own):
         chosen = np.sort(np.lexsort((own, -uneven))[:terms])
@@ -242,15 +260,16 @@ def _index(bags: DataFrame, frequency: tuple[np.ndarray, np.ndarray, int], terms
                   (np.array([0.0, 1.0]), np.array([0.0, 1.0])), float((empty.sum() + rate) / (len(empty) + 1)))
     if not len(own):
         return index
-    sent = spark.sparkContext.broadcast((own, idf, index.ids))
+    by_id = np.argsort(index.ids, kind="stable")
+    sent = spark.sparkContext.broadcast((own, idf, index.ids[by_id], by_id.astype(np.int32)))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, idf, ids = sent.value
+        known, idf, ids, place = sent.value
         for batch in batches:
             for doc, hashes, counts in zip(*batch.columns, strict=True):
                 at, hit = _known(known, hashes.values.to_numpy().view(np.uint64))
                 weights = _vector(at, counts.values.to_numpy()[hit], idf).astype(np.float32) if len(at) else np.zeros(0, np.float32)
-                example = np.full(len(at), np.searchsorted(ids, doc.as_py()), np.int32)
+                example = np.full(len(at), place[np.searchsorted(ids, doc.as_py())], np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(example), pa.array(weights)],
                                                  names=["term", "example", "weight"])
 
@@ -262,6 +281,29 @@ def _index(bags: DataFrame, frequency: tuple[np.ndarray, np.ndarray, int], terms
     return index
 
 
+def _heads(bags: DataFrame, known: np.ndarray, held: np.ndarray) -> pa.Table:
+    """doc_id, toxic and whether it has terms, of each example, in the order of its commonest terms."""
+    sent = bags.sparkSession.sparkContext.broadcast((known, held))
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held = sent.value
+        for batch in batches:
+            leads = []
+            for hashes in batch.column(2):
+                at = _known(known, hashes.values.to_numpy().view(np.uint64))[0]
+                top = at[np.lexsort((at, -held[at]))[:LEAD]]
+                leads.append([*top.tolist(), *[-1] * (LEAD - len(top))])
+            lead_columns = [pa.array([row[i] for row in leads], pa.int32()) for i in range(LEAD)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pc.greater(pc.list_value_length(batch.column(2)), 0),
+                                              *lead_columns], names=["doc_id", "toxic", "used", *(f"lead{i}" for i in range(LEAD))])
+
+    leads = ", ".join(f"lead{i} int" for i in range(LEAD))
+    heads = bags.select("doc_id", F.col("toxic").cast("int").alias("toxic"), "terms").mapInArrow(
+        lead, f"doc_id bigint, toxic int, used boolean, {leads}").toArrow()
+    sent.destroy()
+    return heads.sort_by([*((f"lead{i}", "ascending") for i in range(LEAD)), ("doc_id", "ascending")])
+
+
 def rising(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic means of the labels by vote, in groups of equal votes."""
     values, inverse = np.unique(votes, return_inverse=True)
@@ -326,14 +368,19 @@ def _scored(index: Index, column: pa.Array, k: int, known: dict) -> list[tuple[f
     for first, hashes, bounds in textscan.hashed_rows(column, plain=True):
         rows, terms, counts = _counts(hashes, bounds, index.terms)
         edges = np.flatnonzero(np.diff(rows, prepend=-1, append=len(bounds)))
+        keys, new = [], {}
         for begin, end in zip(edges, edges[1:], strict=False):
             key = hashlib.blake2b(terms[begin:end].tobytes() + counts[begin:end].tobytes(), digest_size=16).digest()
-            if key not in known:
-                found, cosine = index.search(
-                    terms[begin:end], _vector(terms[begin:end], counts[begin:end], index.idf), k)
-                vote = index.vote(found, cosine)
-                if len(known) > 50_000:
-                    known.clear()
-                known[key] = (index.score(vote) if len(found) else index.empty, vote, index.ids[found[:3]].tolist())
-            out[first + rows[begin]] = known[key]
+            keys.append((first + rows[begin], key))
+            if key not in known and key not in new:
+                new[key] = terms[begin:end], _vector(terms[begin:end], counts[begin:end], index.idf)
+        if len(known) > 50_000:
+            still = {key: known[key] for _, key in keys if key in known}
+            known.clear()
+            known.update(still)
+        for key, near in zip(new, index.search(list(new.values()), k) if new else (), strict=True):
+            vote = index.vote(*near)
+            known[key] = (index.score(vote) if len(near[0]) else index.empty, vote, index.ids[near[0][:3]].tolist())
+        for row, key in keys:
+            out[row] = known[key]
     return out
