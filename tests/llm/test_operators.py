@@ -369,10 +369,11 @@ def test_secrets_against_plain_patterns(docs, empty, odd):
 
 def test_lines_against_brute_force(spark, empty, odd):
     rng = np.random.default_rng(8)
-    lines = [" ".join(rng.choice(WORDS[:60], rng.integers(3, 25))) for _ in range(60)]
+    lines = [" ".join(rng.choice(WORDS[:60], rng.integers(1, 25))) for _ in range(60)]
+    lines += ["a b c d", "b a c d e", "d c b a", "a b c d f", "one", "長い行ですが空白なし", "x y", "y x x", "x y z"]
     texts = []
     for _ in range(40):
-        own = [lines[i].split() for i in rng.integers(0, 60, 5)]
+        own = [lines[i].split() for i in rng.integers(0, len(lines), 6)]
         texts.append("\n".join(" ".join(w if rng.random() > 0.06 else "edit" for w in line) for line in own))
     texts += [None, "", "\n\n", "short\nshort"]
     docs = spark.createDataFrame([(i, t, "x", 1, 2, 3) for i, t in enumerate(texts)], SCHEMA)
@@ -381,9 +382,9 @@ def test_lines_against_brute_force(spark, empty, odd):
         kept = []
         for line in (text or "").split("\n"):
             words = set(line.split())
-            if len(words) < 5 or not any(len(words & s) >= 0.8 * len(words | s) - 1e-9 for s in seen):
+            if not words or not any(len(words & s) >= 0.8 * len(words | s) - 1e-9 for s in seen):
                 kept.append(line)
-            if len(words) >= 5:
+            if words:
                 seen.append(words)
         expected[i] = None if text is None else "\n".join(kept)
     got = line_dedup.remove_repeats(docs)

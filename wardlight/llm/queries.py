@@ -145,7 +145,7 @@ WITH l AS (SELECT doc_id, unnest(range(0, len(s))) AS line_no, unnest(s) AS line
            FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
 w AS (SELECT doc_id, line_no, list_sort(list_distinct(list_filter(
         string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> ''))) AS w FROM l),
-u AS (SELECT w, min((doc_id, line_no)) AS first FROM w WHERE len(w) >= 5 GROUP BY w),
+u AS (SELECT w, min((doc_id, line_no)) AS first FROM w WHERE len(w) > 0 GROUP BY w),
 n AS (SELECT row_number() OVER () AS k, w, first, len(w) AS n FROM u),
 t AS (SELECT k, n, first, unnest(w) AS g FROM n),
 m AS (SELECT b.k FROM t a JOIN t b ON a.g = b.g AND a.first < b.first AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
