@@ -331,6 +331,37 @@ def test_decontamination_ignores_case_and_punctuation_beyond_ascii(spark):
     assert got == {(i, i // 3): 1.0 for i in range(len(texts))}
 
 
+def test_decontamination_against_alignment_of_all_pairs(spark):
+    """Edited, split and spread copies, very long and repeated texts; recall of pairs that reach the threshold in full alignment."""
+    rng = np.random.default_rng(7)
+    items = [[f"t{rng.integers(3000)}" for _ in range(40)] for _ in range(12)]
+    texts = []
+    for item in items:
+        spread = [w if i not in (9, 30) else "edit" for i, w in enumerate(item)]
+        texts.append(spread[:20] + [f"x{i}" for i in range(28)] + spread[20:])       # inserted in the middle
+        texts.append([w if rng.random() > 0.15 else "edit" for w in item])
+        texts.append([w for w in item if rng.random() > 0.2])
+        texts.append([f"y{rng.integers(500)}" for _ in range(30)] + item[5:33])
+        texts.append(list(rng.permutation(item)))
+    texts.append([f"z{rng.integers(900)}" for _ in range(30_000)] + items[0] + items[1] + items[0])
+    texts += [texts[0], texts[0]]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, bench).collect()}
+    number = {w: np.uint64(i) for i, w in enumerate({w for x in [*items, *texts] for w in x})}
+    expected = {}
+    for i, text in enumerate(texts):
+        for j, item in enumerate(items):
+            if len(set(text) & set(item)) >= 20:
+                score = decontaminate.align(*(np.array([number[w] for w in x]) for x in (item, text)))[0] / len(item)
+                if score >= decontaminate.THRESHOLD:
+                    expected[i, j] = score
+    assert set(got) <= set(expected) and len(got) >= 0.9 * len(expected)
+    assert all(abs(r.score - expected[pair]) < 1e-9 for pair, r in got.items())
+    assert all((5 * j, j) in got for j in range(12))              # the inserted ones
+    assert got[60, 0].start_word == 30_000 and (61, 0) in got and (62, 0) in got
+
+
 def test_decontamination_aligns_passages_with_one_seed(spark):
     item = [f"item{i}" for i in range(15)]
     edited = " ".join("edit" if i in (2, 5, 8, 11) else w for i, w in enumerate(item))
@@ -363,8 +394,13 @@ def test_secrets_against_plain_patterns(docs, empty, odd):
     assert secrets.find_secrets(empty).count() == 0 and secrets.find_secrets(odd).count() == 6
     key = "aB3dE5fG7hJ9kL1mN3pQ5rS7"
     for text, linked in ((f"user: alice uses {key}", 2), (f"see {key}", 0), (f"https://api.example.org {key}", 1),
-                         (f"user: alice {'x ' * 400}{key}", 0), ("user: alice", 0)):
-        assert len(secrets.linked_spans(text, secrets.base_spans(text))) == linked
+                         (f"user: alice {'x ' * 400}{key}", 0), ("user: alice", 0),
+                         ("client_id=abc123 and abcdefghij0123456789klmnop", 2), ("username: bob pass K7F2Q9Z3M4X8B6N1V5C0", 2),
+                         ("user = bob / pw hunter2secret9x", 2), ("user=K7F2Q9Z3M4X8B6N1V5C0", 0), ("the pass is hunter2secret9x", 0),
+                         ("user: bob has zzzzzzzzzzzzzzzzzzzzzzzz1", 0), ("user: bob writes of internationalisation efforts", 0),
+                         ("client_id=0123456789ABCDEF0123 pass A1B2C3", 2)):
+        found = secrets.linked_spans(text, secrets.base_spans(text))
+        assert len(found) == linked, (text, found)
 
 
 def test_lines_against_brute_force(spark, empty, odd):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from wardlight.llm import textscan
 SEED = 3                 # words of a seed
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 THRESHOLD = 0.5          # alignment score by the item's own, at least
-FEW, SHARE = 10, 0.01    # a seed that often, or in that share of texts, beyond 4 x the item's median is still rare
+SHARE = 0.01             # a seed in that share of texts beyond 4 x the item's median is still rare
 BLOCK_WORDS = 1_000_000  # words of test items that go to the workers at once (8 MB)
 
 
@@ -66,12 +67,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def _passages(begins: np.ndarray, size: int, words: int) -> list[tuple[int, int, int]]:
+def _passages(begins: np.ndarray, size: int, words: int, threshold: float) -> list[tuple[int, int, int]]:
     """Stretches of a document that may hold an item, with the seeds in each.
 
-    begins: where the item would begin by each seed. Seeds whose stretches overlap share one.
+    begins: where the item would begin by each seed. Seeds whose stretches overlap share one. An alignment
+    that reaches the threshold has room for so many words that the item lacks, and no more.
     """
-    slack = size // 2 + SEED
+    slack = math.ceil((1 - threshold) * MATCH * size / -GAP) + SEED
     begins = np.sort(begins)
     groups = np.split(begins, np.flatnonzero(np.diff(begins) > slack) + 1)
     return [(max(0, int(g[0]) - slack), min(words, int(g[-1]) + size + slack), len(g)) for g in groups]
@@ -83,13 +85,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """A row per document and test item that it holds: doc_id, item_id, score, start_word, end_word, n_seeds.
 
     Words are compared in lower case without punctuation. Seeds are the item's runs of
-    SEED words, without those that occur more often than 4 times the item's median seed
-    plus SHARE of the number of texts (FEW at least); frequencies are counted over all
-    documents. One kept seed is enough for a passage to be aligned. Around the seeds a document
+    SEED words, without those that occur more often than 4 times the median of the item's seeds that occur
+    at all plus SHARE of the number of texts; frequencies are counted over all documents. One kept seed is enough for a passage to be aligned. Around the seeds a document
     shares with an item, Smith-Waterman alignment gives the score, 1 for a whole copy.
     The best passage is kept per pair; ``threshold`` decides. Null or empty texts, items
     without words and null item ids match nothing; items with one id are separate texts under
-    that id; rows that repeat a document are reported each. Null document ids stay null.
+    that id; of equally good passages the first counts; rows that repeat a document are reported each. Null document ids stay null.
     Extra columns are not read; an empty table on either side gives an empty result.
 
     Test items go to the workers in blocks of about ``block_words`` words; a larger
@@ -159,7 +160,7 @@ def _block(texts: DataFrame, items: list[tuple[int, np.ndarray]]):
         frequency[row.seed] = row.n
     texts_read = int(frequency[-1])
     often = frequency[np.searchsorted(distinct, hashes)]
-    rare = often <= 4 * _medians(item, often, len(items))[item] + max(FEW, texts_read * SHARE)
+    rare = often <= 4 * _medians(item, often, len(items))[item] + texts_read * SHARE
     table = texts.sparkSession.sparkContext.broadcast((items, hashes[rare], item[rare], place[rare]))
 
     return table, widths
@@ -186,7 +187,7 @@ def _found(table, widths: list[int], column: pa.Array, threshold: float) -> list
                 number, text = int(item[seed[a]]), words[bounds[row[a]]:bounds[row[a] + 1]]
                 body, best = items[number][1], (0.0, 0, 0, 0)
                 begins = where[a:b] - bounds[row[a]] - place[seed[a:b]]
-                for left, right, seeds in _passages(begins, len(body), len(text)):
+                for left, right, seeds in _passages(begins, len(body), len(text), threshold):
                     if np.isin(body, text[left:right]).sum() < threshold * len(body):
                         continue   # the score is at most the number of the item's words in the passage
                     score, end = align(body, text[left:right])
@@ -200,7 +201,10 @@ def _found(table, widths: list[int], column: pa.Array, threshold: float) -> list
 
 
 def _medians(item: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:
+    """Per item the median of its positive counts, 0 without any."""
+    item, often = item[often > 0], often[often > 0]
     order = np.lexsort((often, item))
-    first = np.searchsorted(item[order], np.arange(n))
     size = np.bincount(item, minlength=n)
-    return often[order][first + size // 2]
+    first = np.cumsum(size) - size
+    middle = np.minimum(first + size // 2, max(len(order) - 1, 0))
+    return np.where(size > 0, often[order][middle], 0) if len(order) else np.zeros(n, np.int64)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCOPE = 300          # characters between complementary parts at most
-ENTROPY = 3.5        # bits a character of a weak secret, at least
+ENTROPY = 0.8        # of the most that a weak secret's alphabet and length allow, at least
 KINDS = ("assign", "access", "hex", "id_part", "key_part")
 
 
@@ -29,7 +29,10 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ID_NAMES = "|".join(map(_either_case, ("client_id", "access_key", "access_key_id", "account", "username", "user")))
 _WEAK_ID = re.compile(rf"""(?<![A-Za-z0-9_])(?:{_ID_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{{3,}})"""
                       r"|(?<![A-Z0-9])A[A-Z]IA[A-Z0-9]{8,}")
+_HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
 _WEAK_KEY = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])")
+_CONTEXT = re.compile(rf"""(?<![A-Za-z0-9_])(?:{'|'.join(map(_either_case, ("passphrase", "pass", "pwd", "pw", "key", "pin", "credential")))})"""
+                      r"""["']?\x20*[:=]?\x20*["']?(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])([A-Za-z0-9+/_.=!@#%^*-]{6,})""")
 _ENDPOINT = re.compile(r"[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9._-]+|"
                        rf"""(?<![A-Za-z0-9_])(?:{'|'.join(map(_either_case, ("host", "endpoint", "server")))})"""
                        r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9._-]+""")
@@ -39,6 +42,15 @@ def entropy(text: str) -> float:
     return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values())
 
 
+def random_looking(text: str) -> bool:
+    """Whether two classes of digits, lower and upper case occur, and characters vary as in a key of its alphabet."""
+    classes = (any(c.isdigit() for c in text), any(c.islower() for c in text), any(c.isupper() for c in text))
+    if sum(classes) < 2:
+        return False
+    alphabet = 16 if set(text) <= _HEX_DIGITS else 10 * classes[0] + 26 * classes[1] + 26 * classes[2]
+    return entropy(text) >= ENTROPY * math.log2(min(alphabet, len(text)))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the three plain kinds, in order."""
     found = []
@@ -70,29 +82,34 @@ def _apart(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Weak identifiers near a secret and weak secrets near an identifier or an endpoint.
 
-    Interval join by position in one document: a part's scope reaches SCOPE characters
-    to both sides. A weak part that overlaps a plain span, or has no complement in its
-    scope, is not reported.
+    Weak identifiers are names such as user or client_id with a value, and access identifiers of
+    unusual form. Weak secrets are runs of 20 or more key characters that look random, and values
+    with letters and digits right after a word such as pass or key. Interval join by position in one
+    document: a part's scope reaches SCOPE characters to both sides. A weak part that overlaps a plain
+    span, or has no complement in its scope, is not reported, nor is a secret that overlaps a reported identifier.
     """
     taken = _apart(_table((a, b) for a, _, b in base))
     ids = _table(m.span() for m in _WEAK_ID.finditer(text))
-    keys = _table(m.span() for m in _WEAK_KEY.finditer(text)
-                  if any(c.isdigit() for c in m[0]) and any(c.islower() for c in m[0])
-                  and any(c.isupper() for c in m[0]) and entropy(m[0]) >= ENTROPY)
+    runs = _table(m.span() for m in _WEAK_KEY.finditer(text) if random_looking(m[0]))
+    named = _table(m.span(1) for m in _CONTEXT.finditer(text))
+    named = named[~_meets(named, *_apart(runs), -1)]
+    keys = _table(map(tuple, np.concatenate([runs, named])))
     if not len(ids) and not len(keys):
         return []
     ids = ids[~_meets(ids, *taken, -1)] if len(ids) else ids
     keys = keys[~_meets(keys, *taken, -1)] if len(keys) else keys
-    if len(ids):
-        keys = keys[~_meets(keys, *_apart(ids), -1)] if len(keys) else keys
     strong_ids = [(a, b) for a, kind, b in base if kind == 1]
     strong_keys = [(a, b) for a, kind, b in base if kind != 1]
-    all_ids, all_keys = _table([*map(tuple, ids), *strong_ids]), _table([*map(tuple, keys), *strong_keys])
     ends = _table(m.span() for m in _ENDPOINT.finditer(text)) if len(keys) else _table(())
     out = []
     if len(ids):
-        out += [(int(a), 3, int(b)) for a, b in ids[_meets(ids, *_apart(all_keys), SCOPE)]]
+        # An identifier's own value may look like a secret; only another one is its complement.
+        apart = _table([*map(tuple, keys[~_meets(keys, *_apart(ids), -1)]), *strong_keys])
+        ids = ids[_meets(ids, *_apart(apart), SCOPE)]
+        out += [(int(a), 3, int(b)) for a, b in ids]
+        keys = keys[~_meets(keys, *_apart(ids), -1)]
     if len(keys):
+        all_ids = _table([*map(tuple, ids), *strong_ids])
         near = _meets(keys, *_apart(all_ids), SCOPE) | _meets(keys, *_apart(ends), SCOPE)
         out += [(int(a), 4, int(b)) for a, b in keys[near]]
     return out
