@@ -36,6 +36,33 @@ LEAD = 3             # commonest terms that order the examples
 SLACK = 1e-5         # of single precision sums
 
 
+class Lookup:
+    """Positions of hashes among sorted known ones: a table by low bits, and a sorted list of those whose place is taken."""
+
+    def __init__(self, known: np.ndarray):
+        self.known, bits = known, max(4, (4 * len(known)).bit_length() - 1)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.table = np.full(1 << bits, -1, np.int32)
+        place, own = (known & self.mask).astype(np.int64), np.arange(len(known), dtype=np.int32)
+        self.table[place] = own
+        self.rest = np.flatnonzero(self.table[place] != own)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the known ones among the hashes, and their positions."""
+        if not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = self.table[(hashes & self.mask).view(np.int64)].astype(np.int64)
+        other = np.flatnonzero((at >= 0) & (self.known[at] != hashes))
+        at[other] = -1
+        if len(other) and len(self.rest):
+            rest = self.known[self.rest]
+            near = np.minimum(np.searchsorted(rest, hashes[other]), len(rest) - 1)
+            same = rest[near] == hashes[other]
+            at[other[same]] = self.rest[near[same]]
+        hit = np.flatnonzero(at >= 0)
+        return at[hit], hit
+
+
 @dataclass
 class Index:
     """Labelled examples by term."""
@@ -49,7 +76,12 @@ class Index:
     weights: np.ndarray
     knots: tuple             # votes and calibrated scores
     empty: float             # score of a text without any of the terms
-    dense: tuple | None = None   # frequent terms as matrices, filled where they are used
+    dense: tuple | None = None    # frequent terms as matrices, and a lookup of terms; made where they are used
+    lookup: Lookup | None = None
+
+    def release(self) -> None:
+        """Let go what a worker made for its task; idle workers keep their memory."""
+        self.dense = self.lookup = None
 
     def _matrices(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Column of each term (-1: rare), weights by block, example and column, and their maxima by column and block."""
@@ -115,13 +147,13 @@ class Index:
         return float(np.interp(vote, *self.knots))
 
 
-def _counts(hashes: np.ndarray, bounds: np.ndarray, terms: np.ndarray):
-    """Rows, term numbers and counts of the chosen terms in a run of rows."""
-    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-    hit = np.flatnonzero(terms[at] == hashes)
+def _counts(hashes: np.ndarray, bounds: np.ndarray, lookup: Lookup):
+    """Rows, term numbers and counts of the known terms in a run of rows."""
+    terms, hit = lookup.find(hashes)
     rows = np.searchsorted(bounds, hit, "right") - 1
-    keys, counts = np.unique(rows * len(terms) + at[hit], return_counts=True)
-    return keys // len(terms), keys % len(terms), counts
+    n = max(1, len(lookup.known))
+    keys, counts = np.unique(rows * n + terms, return_counts=True)
+    return keys // n, keys % n, counts
 
 
 def _vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -218,13 +250,13 @@ def _frequencies(docs: DataFrame, bags: DataFrame) -> tuple[np.ndarray, np.ndarr
     sent = spark.sparkContext.broadcast(known)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        total = np.zeros(len(known) + 1, np.int64)
+        lookup = Lookup(sent.value)
+        total = np.zeros(len(sent.value) + 1, np.int64)
         for batch in batches:
             total[-1] += batch.num_rows
-            if len(known):
+            if len(sent.value):
                 for _, hashes, bounds in textscan.hashed_rows(batch.column(0), plain=True):
-                    total[:-1] += np.bincount(_counts(hashes, bounds, known)[1], minlength=len(known))
+                    np.add.at(total, _counts(hashes, bounds, lookup)[1], 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": pa.array(seen, pa.int64()), "n": pa.array(total[seen], pa.int64())})
 
@@ -340,6 +372,7 @@ def score_documents(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_col:
                 [batch.column(0), pa.array([x[0] for x in out], pa.float64()),
                  pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))],
                 names=["id", "score", "vote", "evidence"])
+        sent.value.release()
 
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     return source.mapInArrow(score, "id bigint, score double, vote double, evidence array<bigint>").withColumnRenamed(
@@ -366,7 +399,8 @@ def _scored(index: Index, column: pa.Array, k: int, known: dict) -> list[tuple[f
     if not len(index.terms):
         return out
     for first, hashes, bounds in textscan.hashed_rows(column, plain=True):
-        rows, terms, counts = _counts(hashes, bounds, index.terms)
+        index.lookup = index.lookup or Lookup(index.terms)
+        rows, terms, counts = _counts(hashes, bounds, index.lookup)
         edges = np.flatnonzero(np.diff(rows, prepend=-1, append=len(bounds)))
         keys, new = [], {}
         for begin, end in zip(edges, edges[1:], strict=False):
