@@ -11,9 +11,11 @@ commonest terms, which keeps a language together.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,18 @@ LEAD = 3             # commonest terms that order the examples
 SLACK = 1e-5         # of single precision sums
 
 
+def one_thread() -> None:
+    """Matrix products stay on the task's own core: more threads than cores wait for each other at full load.
+
+    Tells the OpenBLAS library that numpy brings along; with another library nothing changes.
+    """
+    for path in (Path(np.__file__).parent.parent / "numpy.libs").glob("*openblas*"):
+        library = ctypes.CDLL(str(path))
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 class Lookup:
     """Positions of hashes among sorted known ones: a table by low bits, and a sorted list of those whose place is taken."""
 
@@ -210,6 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int
         sent = spark.sparkContext.broadcast(index)
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one_thread()
             index = sent.value
             for batch in batches:
                 texts = []
@@ -365,6 +380,7 @@ def score_documents(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_col:
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         known: dict = {}
         for batch in batches:
             out = _scored(sent.value, batch.column(1), k, known)
@@ -385,6 +401,7 @@ def keep_below(docs: DataFrame, index: Index, cutoff: float = 0.5, k: int = NEIG
     sent, at = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         known: dict = {}
         for batch in batches:
             yield batch.filter(pa.array([x[0] < cutoff for x in _scored(sent.value, batch.column(at), k, known)],
