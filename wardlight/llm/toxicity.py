@@ -32,8 +32,8 @@ FLOOR = 0.1          # weight of a term that is spread evenly
 NEIGHBOURS = 25
 CALIBRATION = 5      # one in so many examples is set apart to calibrate votes
 BLOCK = 32           # examples in a block of the index
-FREQUENT = 10        # a term of more than one in so many examples has block maxima
-TOGETHER = 128       # texts searched at once
+FREQUENT = 16        # a term of more than one in so many examples has block maxima
+TOGETHER = 256       # texts searched at once
 LEAD = 3             # commonest terms that order the examples
 SLACK = 1e-5         # of single precision sums
 
