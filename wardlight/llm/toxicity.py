@@ -92,10 +92,11 @@ class Index:
     empty: float             # score of a text without any of the terms
     dense: tuple | None = None    # frequent terms as matrices, and a lookup of terms; made where they are used
     lookup: Lookup | None = None
+    pairs: np.ndarray | None = None
 
     def release(self) -> None:
         """Let go what a worker made for its task; idle workers keep their memory."""
-        self.dense = self.lookup = None
+        self.dense = self.lookup = self.pairs = None
 
     def _matrices(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Column of each term (-1: rare), weights by block, example and column, and their maxima by column and block."""
@@ -110,6 +111,7 @@ class Index:
                 rows[self.examples[at], number] = self.weights[at]
             rows = rows.reshape(blocks, BLOCK, len(frequent))
             self.dense = column, rows, np.ascontiguousarray(rows.max(axis=1).T)
+            self.pairs = np.column_stack([self.examples, self.weights.view(np.int32)])   # one piece of memory a posting
         return self.dense
 
     def search(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -149,9 +151,9 @@ class Index:
         begins, ends = self.first[terms[rare]], self.first[terms[rare] + 1]
         if not len(begins):
             return np.zeros(n, np.float32)
-        lists = [slice(a, b) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-        added = np.repeat(shares[rare], ends - begins) * np.concatenate([self.weights[at] for at in lists])
-        return np.bincount(np.concatenate([self.examples[at] for at in lists]), added, n).astype(np.float32)
+        pairs = np.concatenate([self.pairs[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+        added = np.repeat(shares[rare].astype(np.float32), ends - begins) * pairs[:, 1].view(np.float32)
+        return np.bincount(pairs[:, 0], added, n).astype(np.float32)
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
         weight = 1.0 / (1.05 - np.minimum(cosine, 1.0))
