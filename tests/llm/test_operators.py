@@ -301,6 +301,68 @@ def test_near_duplicates_against_brute_force(docs, empty, odd):
         (-1, ""), (1, BASE), (1, "other"), (2, "")])
 
 
+def test_pairs_beside_a_leader_are_met_where_they_differ_from_it(spark):
+    """No similar pair of different labels is lost; a group without common differences is not paired off."""
+    rng = np.random.default_rng(11)
+    center = set(range(200))
+    sets = [center]
+    for i in range(160):
+        kept = set(rng.choice(200, int(rng.integers(130, 201)), replace=False).tolist())
+        sets.append(kept | {1000 * i + 5000 + j for j in range(int(rng.integers(0, 45)))})
+        if i % 4 == 0:   # a copy of the copy with an edit of its own
+            drop = set(rng.choice(sorted(sets[-1]), int(rng.integers(0, 14)), replace=False).tolist())
+            sets.append(sets[-1] - drop | {1000 * i + 5500 + j for j in range(int(rng.integers(0, 14)))})
+    far = set(range(2000, 2190))   # another group, which shares a bucket by chance
+    sets += [far | {i} for i in range(30)] + [far - set(range(2000, 2012 + i)) | {7 * i} for i in range(20)]
+
+    def alike(x, y):
+        return len(x & y) >= 0.8 * len(x | y) - 1e-9
+
+    label = [0 if alike(x, center) else i for i, x in enumerate(sets)]
+    name = "{:05}".format
+    beside = spark.createDataFrame([(name(0).encode(), 200, name(i).encode(), len(x), name(label[i]).encode())
+                                    for i, x in enumerate(sets) if i], "leader binary, leader_size bigint, node binary, size bigint, label binary")
+    table = spark.createDataFrame([(name(i).encode(), sorted(x)) for i, x in enumerate(sets)], "node binary, shingles array<bigint>")
+    got = {tuple(sorted((int(r.a), int(r.b)))) for r in near_dedup._differing(spark, beside, table, 0.8).collect()}
+    pairs = [(i, j) for i in range(1, len(sets)) for j in range(i + 1, len(sets)) if label[i] != label[j]]
+    similar = {(i, j) for i, j in pairs if alike(sets[i], sets[j])}
+    assert len(similar) > 100 and similar <= got and len(got) < len(pairs) / 4
+    # Copies with five shingles changed at each of some words: what they share by chance makes few pairs.
+    copies = [center]
+    for i in range(1, 200):
+        gone = {int(at) + j for at in rng.choice(196, int(rng.integers(4, 9)), replace=False) for j in range(5)}
+        copies.append(center - gone | {10_000 + 100 * i + j for j in range(len(gone))})
+    own = [0 if alike(x, center) else i for i, x in enumerate(copies)]
+    beside_ = spark.createDataFrame([(name(0).encode(), 200, name(i).encode(), len(x), name(own[i]).encode())
+                                     for i, x in enumerate(copies) if i], beside.schema)
+    table_ = spark.createDataFrame([(name(i).encode(), sorted(x)) for i, x in enumerate(copies)], table.schema)
+    mixed = sum(own[i] != own[j] for i in range(1, 200) for j in range(i + 1, 200))
+    assert 0 < sum(map(bool, own)) < 199 and near_dedup._differing(spark, beside_, table_, 0.8).count() < mixed / 20
+    assert near_dedup._differing(spark, beside.limit(0), table, 0.8).count() == 0
+
+
+def test_near_copies_of_near_copies_are_one_class(spark, empty):
+    """Copies at and around the threshold, beside a common original, against brute force."""
+    rng = np.random.default_rng(12)
+    base, texts = _words(_text(31, 150)), []
+    for i in range(120):
+        words = list(base)
+        for at in rng.choice(150, int(rng.integers(1, 8)), replace=False):
+            words[at] = f"edit{i}-{at}"
+        texts.append(" ".join(words))
+        if i % 5 == 0:
+            texts.append(" ".join([*words[:-3], "own", "end", str(i)]))
+    sets = [_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in range(6):
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if len(x & sets[j]) >= 0.8 * len(x | sets[j]) - 1e-9:
+                    label[i] = label[j] = min(label[i], label[j])
+    rows = spark.createDataFrame([(i, t, "", 1, 1, 1) for i, t in enumerate(texts)], SCHEMA)
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(rows).collect()} == dict(enumerate(label))
+
+
 def test_decontamination_finds_copies_and_edits(spark, docs, empty, odd):
     item = _text(77, 40)
     words = item.split()

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm import textscan
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame, width: int = WORDS, bands: int = BANDS, rows: in
                 key = textscan.mix(key + np.arange(bands, dtype=np.uint64))
                 n = len(bounds) - 1
                 sizes = np.diff(edges)
+                totals = np.diff(np.concatenate([[0], np.cumsum(counts)])[edges]) if weighted else sizes
                 body = values.view(np.uint8) if not weighted else np.stack([values, counts.astype(np.uint64)], 1).view(np.uint8).ravel()
                 step = 16 if weighted else 8
                 nodes = [hashlib.blake2b(body[edges[i] * step:edges[i + 1] * step], digest_size=16).digest()
@@ -131,7 +132,7 @@ def signatures(docs: DataFrame, width: int = WORDS, bands: int = BANDS, rows: in
                 offsets = pa.array(np.arange(n + 1) * bands, pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, n), batch.column(1).slice(first, n), pa.array(nodes, pa.binary()),
-                     pa.array(sizes, pa.int64()),
+                     pa.array(totals, pa.int64()),
                      pa.ListArray.from_arrays(offsets, pa.array(key.ravel().view(np.int64)))],
                     names=["doc_id", "text_hash", "node", "size", "keys"])
 
@@ -201,8 +202,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     Pairs that share a band are candidates. A band's bucket is not paired off: each
     member meets two leaders, the most central one (whose buckets are the largest) and one
     chosen by a hash per bucket. The pair that shares
-    most bands per member is checked first, then the others that are not yet in one class, and at
-    last all pairs of a bucket whose classes still differ. Every link is checked exactly.
+    most bands per member is checked first, then the others that are not yet in one class. In a
+    bucket whose classes still differ, members meet where they share what sets them off from the
+    central one (``_differing``), which no similar pair fails to do. Every link is checked exactly.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
@@ -217,10 +219,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     leaders = weighed.groupBy("key").agg(
         F.max(F.struct("weight", "node", "size")).alias("central"),
         F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "size")).alias("other"))
-    leaders = leaders.select("key", F.explode(F.array(
-        F.struct("central.node", "central.size"), F.struct("other.node", "other.size"))).alias("leader"))
-    met = shared.join(leaders.select("key", F.col("leader.node").alias("leader"),
-                                     F.col("leader.size").alias("leader_size")), "key")
+    leaders = store(spark, leaders.select("key", F.struct("central.node", "central.size").alias("central"),
+                                          F.struct("other.node", "other.size").alias("other")), "near-leaders")
+    both = leaders.select("key", F.explode(F.array("central", "other")).alias("leader"))
+    met = shared.join(both.select("key", F.col("leader.node").alias("leader"),
+                                  F.col("leader.size").alias("leader_size")), "key")
 
     wanted = shared.select("node").distinct()
     best = rows_.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("at"))
@@ -246,15 +249,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
     links = links.unionByName(store(spark, checked(rest), "near-links"))
     labels = components(links)
 
-    # Buckets whose members are still apart: their remaining pairs, one bucket row per class and node.
+    # Buckets whose members are still apart: their members beside the central one.
     mixed = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     split = mixed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-    mixed = mixed.join(split.select("key"), "key").select("key", "node", "size", "label")
-    other = mixed.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-    fits = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity
-    rest = mixed.join(other, "key").filter((F.col("label") < F.col("label_b")) & fits).select(
-        F.col("node").alias("a"), "b").distinct()
-    last = store(spark, checked(rest.join(pairs, ["a", "b"], "left_anti")), "near-links")
+    beside = mixed.join(split.select("key"), "key").join(leaders.select("key", "central.*").toDF(
+        "key", "leader", "leader_size"), "key").filter("node != leader")
+    beside = beside.select("leader", "leader_size", "node", "size", "label").distinct()
+    rest = _differing(spark, beside, sets, similarity).join(pairs, ["a", "b"], "left_anti")
+    last = store(spark, checked(rest), "near-links")
     if not last.isEmpty():
         links = links.unionByName(last)
         labels = components(links)
@@ -273,6 +275,59 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, width: int
         "class_node")
 
 
+def _differing(spark: SparkSession, beside: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different labels, among the nodes beside one leader, that can be similar.
+
+    Two nodes of different labels are not both similar to their leader L, and then what they have in
+    common must show in what sets them off from L. With d(x) the elements in just one of x and
+    L, and r = (1 - similarity) / (1 + similarity), x and y are similar if d(x) and d(y) share at least
+    (|d(x)| + |d(y)| - r (|x| + |y|)) / 2 elements, and y is unlike L if |d(y)| > r (|y| + |L|). So
+    with an unlike partner, x must share more than (|d(x)| + r (|L| - |x|)) / 2 elements, about half of d(x), and
+    with any partner (|d(x)| - r (|x| + |L|)) / 2. A node that is far, with less than ``similarity`` of its
+    own elements in L, shares similarity * |x| - |x and L| elements outside L with every similar
+    one, so for it these alone are looked at. Elements that only one label has meet nothing;
+    of the others a node needs those rarest ones that leave fewer than it must share. So a
+    large group around one leader is joined on the few differences its members share, not paired off.
+    """
+    own = sets.select("node", "shingles")
+    from_leader = sets.select(F.col("node").alias("leader"), F.col("shingles").alias("of_leader"))
+    placed = beside.join(own, "node").join(from_leader, "leader").select(
+        "leader", "node", "label", "size", F.size("shingles").alias("n"), F.size("of_leader").alias("l"),
+        F.array_except("shingles", "of_leader").alias("outside"), F.array_except("of_leader", "shingles").alias("missing"))
+    ratio = (1 - similarity) / (1 + similarity)
+    n, size, inside = F.col("n"), F.col("l"), F.col("n") - F.size("outside")
+    apart = F.size("outside") + F.size("missing")
+    far, linked = inside < similarity * n - 1e-9, apart <= ratio * (n + size) + 1e-9
+    differences = F.concat("outside", "missing")
+
+    def use(kind: int, elements: Column, need: Column, marked: Column) -> Column:
+        """Elements to meet by, how many must be shared, and whether the node is marked: far (0) or linked (2)."""
+        return F.struct(F.lit(kind).alias("kind"), elements.alias("elements"), F.greatest(
+            F.ceil(need - 1e-9), F.lit(1)).alias("need"), marked.alias("marked"))
+
+    half, least = (apart + ratio * (size - n)) / 2, (apart - ratio * (n + size)) / 2
+    uses = F.array(use(0, F.col("outside"), F.when(far, similarity * n - inside).otherwise(1.0), far),   # with a far one
+                   F.when(~far & ~linked, use(1, differences, half, linked)),                     # two unlike ones
+                   F.when(~far, use(2, differences, F.when(linked, half).otherwise(least), linked)))  # a linked and an unlike one
+    used = placed.select("leader", "node", "label", "size", F.explode(F.filter(uses, lambda u: u.isNotNull())).alias("u"))
+    rows = store(spark, used.select("leader", "node", "label", "size", "u.kind", "u.need", "u.marked",
+                                    F.explode("u.elements").alias("element")), "near-differences")
+    at = ["leader", "kind", "element"]
+    common = rows.groupBy(*at).agg(
+        F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("marked").alias("some"),
+        F.min("marked").alias("every")).filter("lo != hi AND (kind = 1 OR some AND (kind = 0 OR NOT every))")
+    member = Window.partitionBy("leader", "kind", "node")
+    kept = rows.join(common.select(*at, "c"), at).withColumn("m", F.count("*").over(member)).withColumn(
+        "turn", F.row_number().over(member.orderBy("c", "element"))).filter(F.col("turn") <= F.col("m") - F.col("need") + 1)
+    kept = store(spark, kept.select(*at, "node", "label", "size", "marked"), "near-rarest")
+    other = kept.select(*at, *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "marked")])
+    fits = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity
+    wanted = F.when(F.col("kind") == 0, F.col("marked") | F.col("marked_b")).otherwise(
+        (F.col("kind") == 1) | (F.col("marked") != F.col("marked_b")))
+    met = kept.join(other, at).filter((F.col("label") < F.col("label_b")) & fits & wanted)
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs whose ends are not in one class yet."""
     a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
