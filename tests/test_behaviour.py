@@ -79,6 +79,21 @@ def test_login_centre_across_midnight(rows):
     assert got.login_hour_scale == 1.0
 
 
+def test_rows_without_a_domain_pass_by_the_catalogue_join(rows):
+    """Rows without a key keep their columns and repeat as often as before; none of them reaches the join."""
+    data = [("a", "x.box.test", None), ("b", None, None), ("b", None, None), ("c", None, " bot inc "), ("d", "", "none"),
+            ("e", "bot.test", None), (None, None, None)]
+    df = rows(data, "id string, domain string, publisher string")
+    got = catalogue.with_app(df, rows(APPS, CAT))
+    assert got.columns == [*df.columns, "app"]
+    assert sorted((r.id or "", r.app.name if r.app else "") for r in got.collect()) == [
+        ("", ""), ("a", "Box"), ("b", ""), ("b", ""), ("c", "Bot"), ("d", ""), ("e", "Bot")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.split("\n") if "Join LeftOuter" in line]
+    assert len(joins) >= 2 and "isnotnull(domain" in plan and "isnotnull(publisher" in plan
+    assert catalogue.with_app(df.limit(0), rows(APPS, CAT)).count() == 0
+
+
 def test_catalogue_suffix_and_order(rows):
     df = rows([("a", "X.Box.Test."), ("b", "files.box.test"), ("c", "abox.test"), ("d", None), ("e", "box.test")], "id string, domain string")
     got = {r.id: r.app and r.app.name for r in catalogue.with_app(df, rows(APPS, CAT)).collect()}

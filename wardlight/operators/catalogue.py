@@ -44,18 +44,26 @@ def apps_of_publishers(publishers: DataFrame, catalogue: DataFrame) -> DataFrame
     return best.select("publisher", "app.*")
 
 
+def _looked_up(rows: DataFrame, key: str, apps: DataFrame, out: str) -> DataFrame:
+    """``rows`` with the struct of ``apps`` (key, out) as ``out``; rows without a key pass by the join.
+
+    Most events have no domain, so a plain left join would shuffle them all to the task of the NULL key.
+    """
+    keyed = rows.where(F.col(key).isNotNull()).join(apps, key, "left").select(*rows.columns, out)
+    missing = F.lit(None).cast(apps.schema[out].dataType).alias(out)
+    return keyed.unionByName(rows.where(F.col(key).isNull()).select(*rows.columns, missing))
+
+
 def with_app(events: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Events with an ``app`` struct, NULL when the catalogue has no match.
 
     With both a domain and a publisher the lower catalogue position wins.
     """
     fields = ["ord", "name", "category", "approval_state", "risk_weight"]
-    by_domain = apps_of_domains(events, catalogue).select("domain", F.struct(*fields).alias("_d"))
-    joined = events.join(by_domain, "domain", "left")
+    joined = _looked_up(events, "domain", apps_of_domains(events, catalogue).select("domain", F.struct(*fields).alias("_d")), "_d")
     app = F.col("_d")
     if "publisher" in events.columns:
-        by_publisher = apps_of_publishers(events, catalogue).select(
-            "publisher", F.struct(*fields).alias("_p"))
-        joined = joined.join(by_publisher, "publisher", "left")
+        by_publisher = apps_of_publishers(events, catalogue).select("publisher", F.struct(*fields).alias("_p"))
+        joined = _looked_up(joined, "publisher", by_publisher, "_p")
         app = F.least("_d", "_p")
     return joined.select(*events.columns, app.alias("app"))
