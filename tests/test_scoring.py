@@ -178,3 +178,21 @@ def test_normalize_and_duplicates(spark):
     assert clean.raw_data.app_name_original == "Box (x)" and clean.error is None and clean.n_filled == 6
     blank = quality.normalize(event(spark, username="   "))
     assert quality.quarantine_rows(blank).count() == 1 and quality.good_rows(blank).count() == 0
+
+
+def test_ingest_status_of_a_union_of_joined_rows(spark, tmp_path):
+    """Copies by a union of two shuffled joins, neither side broadcast: their partitions are merged while the query runs."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, parts, column in (("events", 5, "id * 2 AS input_ord"), ("numbers", 3, "id % 10 AS k")):
+            spark.range(0, 3000, 1, parts).selectExpr("concat('e', id) AS event_id", column).write.parquet(f"{tmp_path}/{name}")
+        numbers = spark.read.parquet(f"{tmp_path}/numbers")
+        events = spark.read.parquet(f"{tmp_path}/events").join(numbers, "event_id")
+        copies = events.where("k = 7").withColumn("input_ord", F.col("input_ord") + 1)
+        found = quality.ingest_status(events.unionByName(copies), numbers.where("k >= 5"))
+        found.write.parquet(f"{tmp_path}/out")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    counts = dict(spark.read.parquet(f"{tmp_path}/out").groupBy("status").count().collect())
+    assert counts == {"accepted": 1500, "duplicate": 1800}
