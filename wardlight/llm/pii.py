@@ -12,20 +12,22 @@ trees are read off the fitted model as column expressions, so scoring needs no s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlight.llm.stored import store
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 20_000      # candidates to fit and calibrate on, at most, chosen by a hash
 PRECISION = 0.98     # of held-out candidates above a kind's threshold
 TREES, DEPTH = 10, 4
 BLOCK = 256          # matches per partial sum of lengths
+MARGIN_STEPS = 1024  # buckets of margins, to one
 
 # Fixed patterns of the plain kinds. A start inside a run that cannot match is skipped
 # by the look-behind, and quantifiers do not give back, so long runs cost linear time.
@@ -166,61 +168,78 @@ def _read(node) -> tuple:
     return (node.split().featureIndex(), node.split().threshold(), _read(node.leftChild()), _read(node.rightChild()))
 
 
-def _lowest(text: Column, docs: DataFrame, patterns: dict, loose: bool, sample: int) -> DataFrame:
-    """The candidates of the patterns, at most ``sample``, those of lowest hash."""
-    found = docs.select(F.explode(F.concat(*(_spans(text, kind, patterns[kind]) for kind in KINDS))).alias("c"))
-    found = found.select("c", F.xxhash64("c.body", "c.before", "c.start").alias("h")).orderBy("h", "c.body").limit(sample)
+def _forms(text: Column, docs: DataFrame) -> DataFrame:
+    """Every candidate of the plain and the looser patterns, in one pass over the texts."""
+    def flagged(patterns, loose):
+        return [F.transform(_spans(text, kind, patterns[kind]), lambda c: F.struct(c.alias("c"), F.lit(loose).alias("loose")))
+                for kind in KINDS]
+
+    found = docs.select(F.explode(F.concat(*flagged(PLAIN, False), *flagged(LOOSE, True))).alias("f")).select("f.*")
     normal = _normal(F.col("c"))
-    return found.select("c", F.lit(loose).alias("loose"), normal.alias("normal"), F.col("c.kind").alias("kind"),
-                        _key(F.col("c"), normal).alias("key"))
+    return found.select("c", "loose", normal.alias("normal"), F.col("c.kind").alias("kind"), _key(F.col("c"), normal).alias("key"))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, text_col: str = "text") -> Trees | None:
-    """Trees and thresholds from plain and looser candidates, labelled by evidence.
+def _thresholds(judged: DataFrame, precision: float) -> dict[int, float]:
+    """Per kind the lowest margin from which up the share of positive candidates is at least ``precision``.
 
-    Candidates are taken from all texts; at most ``sample`` of them, half plain and half looser,
-    those of lowest hash. A candidate that fails its check or stands in code or a URL is
+    ``judged`` has kind, label, loose, train and raw, a row a labelled candidate. Candidates are counted per
+    margin, and margins added up in buckets, so no kind meets in one task.
+    """
+    margins = judged.groupBy("kind", "loose", "train", "raw").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right"))
+    margins = store(judged.sparkSession, margins, "pii-margins")
+    positive = {(r["kind"], r["loose"], r["train"]) for r in
+                margins.filter("right > 0").select("kind", "loose", "train").distinct().collect()}   # at most 16 rows
+    scopes = []
+    for kind in range(len(KINDS)):
+        held_out, loose = (kind, True, False) in positive, {(kind, True, False), (kind, True, True)} & positive
+        scopes.append((F.col("kind") == kind) & (F.col("loose") & ~F.col("train") if held_out else F.col("loose") if loose else F.lit(True)))
+    held = margins.filter(reduce(or_, scopes)).groupBy("kind", "raw").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    held = held.withColumn("bucket", F.floor(F.col("raw") * MARGIN_STEPS))
+    totals = held.groupBy("kind", "bucket").agg(F.sum("n").alias("_n"), F.sum("right").alias("_right"))
+    above = Window.partitionBy("kind").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("kind", "bucket", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("_n", "_right")))
+    inside = Window.partitionBy("kind", "bucket").orderBy(F.desc("raw"))
+    seen, right = (F.sum(c).over(inside) + F.col(f"_{c}") for c in ("n", "right"))
+    share = held.join(totals, ["kind", "bucket"]).select("kind", "raw", (right / seen).alias("share"))
+    # The column expression may add the trees in another order.
+    return {r["kind"]: r["raw"] - 1e-9 for r in share.filter(F.col("share") >= precision).groupBy("kind").agg(F.min("raw").alias("raw")).collect()}
+
+
+def fit(docs: DataFrame, precision: float = PRECISION, text_col: str = "text") -> Trees | None:
+    """Trees and thresholds from all plain and looser candidates of all texts, labelled by evidence.
+
+    A candidate that fails its check or stands in code or a URL is
     negative; one that passes is positive if it is plain, an address or a card, or agrees
     with a plain value of any document; others have no label and are only judged. Values of one
     half are fitted; a kind is calibrated on the looser candidates of the other half, or on all
     its labelled looser ones where that half has none of them positive. A kind without a positive
     looser candidate has the lowest threshold of its plain ones. None where the fitted half lacks a label.
     """
+    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    both = _lowest(text, docs, PLAIN, False, sample // 2).unionByName(_lowest(text, docs, LOOSE, True, sample // 2))
-    both = store(docs.sparkSession, both, "pii-forms")
-    keys = both.filter("loose AND key IS NOT NULL").select("kind", "key").distinct()   # at most sample / 2 rows
-    valid = F.concat(*(F.filter(_spans(text, kind, PLAIN[kind]), _valid) for kind in ("email", "phone")))
-    plain = docs.select(F.explode(valid).alias("c")).select("c.kind", _key(F.col("c"), _normal(F.col("c"))).alias("key"))
-    agreed = plain.join(F.broadcast(keys), ["kind", "key"], "left_semi").distinct().withColumn("agrees", F.lit(True))
+    forms = store(spark, _forms(text, docs), "pii-forms")
     c, normal = F.col("c"), F.col("normal")
+    keyed = forms.filter("key IS NOT NULL")
+    wanted = keyed.filter("loose").select("kind", "key").distinct()
+    plain = keyed.filter(~F.col("loose") & _valid(c)).select("kind", "key").distinct()
+    agreed = plain.join(wanted, ["kind", "key"], "left_semi").withColumn("agrees", F.lit(True))
+    # Plain candidates, addresses and cards need no agreement, so they pass by the join.
+    asks = F.col("loose") & F.col("key").isNotNull()
+    both = forms.filter(asks).join(agreed, ["kind", "key"], "left").select(*forms.columns, "agrees").unionByName(
+        forms.filter(~asks).withColumn("agrees", F.lit(None).cast("boolean")))
     sure = ~F.col("loose") | F.col("kind").isin(1, 2) | F.col("agrees")
     label = F.when(~_checks(c, normal) | _code(c), 0.0).when(sure, 1.0)
-    rows = both.join(agreed, ["kind", "key"], "left").select(
+    rows = both.select(
         label.alias("label"), "kind", "loose", (F.xxhash64("kind", "normal") % 2 == 0).alias("train"),
         *[f.alias(name) for f, name in zip(_features(c, normal), FEATURES, strict=True)]).filter("label IS NOT NULL")
-    rows = store(docs.sparkSession, rows.withColumn("kind_number", F.col("kind").cast("double")), "pii-candidates")
+    rows = store(spark, rows.withColumn("kind_number", F.col("kind").cast("double")), "pii-candidates")
     if rows.filter("train").select("label").distinct().count() < 2:
         return None
     vector = VectorAssembler(inputCols=[*FEATURES, "kind_number"], outputCol="features")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(vector.transform(rows.filter("train")))
     judged = model.transform(vector.transform(rows)).select(
-        "kind", "label", "loose", "train", vector_to_array("rawPrediction")[1].alias("raw")).collect()   # at most ``sample`` rows
-    thresholds = {}
-    for kind in range(len(KINDS)):
-        own = [r for r in judged if r.kind == kind and r.loose]
-        held = [r for r in own if not r.train]
-        held = held if any(r.label for r in held) else own
-        if not any(r.label for r in held):
-            held = held + [r for r in judged if r.kind == kind and not r.loose]
-        best, right, seen = None, 0.0, 0
-        held = sorted(held, key=lambda r: -r.raw)
-        for i, row in enumerate(held):
-            right, seen = right + row.label, seen + 1
-            if right / seen >= precision and (i + 1 == len(held) or held[i + 1].raw < row.raw):
-                best = row.raw
-        if best is not None:
-            thresholds[kind] = best - 1e-9   # the column expression may add the trees in another order
+        "kind", "label", "loose", "train", vector_to_array("rawPrediction")[1].alias("raw"))
+    thresholds = _thresholds(judged, precision)
     trees = model._java_obj.trees()
     return Trees([_read(trees[i].rootNode()) for i in range(len(trees))], list(model._java_obj.treeWeights()), thresholds)
 
