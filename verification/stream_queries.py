@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from verification import sql as S
 from verification.alert_queries import heartbeats
 from verification.behaviour_queries import ENGINE, baselines
-from verification.binding import canonical_events, flat_events, security_events
+from verification.binding import canonical_events, flat_events, security_events, table
 from verification.registry import query
 from verification.scalar_queries import _KEY, MESSY, messy_events
 from verification.source_queries import _KIND, siem_hits
@@ -99,8 +101,10 @@ def r9(spark, sf):
     lines = messy_events(spark, sf).drop("input_ord")
     other = lines.join(flat_events(spark, sf).where("k % 5 <> 1").select("event_id"), "event_id")
     both = lines.unionByName(other.withColumn("client_id", F.concat(F.lit("b-"), "client_id")))
-    both.repartition(4, "event_id").write.json(f"{root}/in")
-    intake.normalize_files(spark, f"{root}/in", f"{root}/events", f"{root}/quarantine", f"{root}/cp", 2)
+    # Two batches of files that do not grow with the table; all lines of an id lie in one of them.
+    files = max(4, 2 * math.ceil(table(spark, sf, "events").count() / 250_000))
+    both.repartition(files, "event_id").write.json(f"{root}/in")
+    intake.normalize_files(spark, f"{root}/in", f"{root}/events", f"{root}/quarantine", f"{root}/cp", files // 2)
     good = spark.read.parquet(f"{root}/events").select(F.col("client_id").alias("tenant_id"), "event_id", F.lit("accepted").alias("outcome"))
     ids = both.select(F.col("client_id").alias("tenant_id"), "event_id").distinct()
     bad = spark.read.parquet(f"{root}/quarantine").select("client_id", "event_id").withColumnRenamed("client_id", "tenant_id")
