@@ -3,9 +3,11 @@
 import datetime as dt
 import itertools
 import time
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wardlight.operators import point_in_time
@@ -60,6 +62,49 @@ def test_thinned_sightings_answer_like_all_of_them(seed):
     assert all(seen(known, t) == seen(kept, t) for t in range(newest + 1, 90))
 
 
+def test_a_users_tokens_are_one_state_value_with_one_timer():
+    """Each call for a key's state costs more than its few rows: one read, one write and at most one timer a batch."""
+    class Handle:
+        calls, value, timers = [], None, set()
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, at):
+            self.timers.add(at)
+
+        def deleteTimer(self, at):
+            self.timers.remove(at)
+
+    day = scoring.DAY_US
+    handle, processor = Handle(), scoring.FirstSighting(30 * day)
+    processor.init(handle)
+    rows = [Row(token=f"d{i % 3}", event_id=f"e{i}", us=(9 - i) * day) for i in range(9)] + [Row(token="d0", event_id=None, us=5 * day)]
+    for part in (rows[:4], rows[4:]):
+        assert list(processor.handleInputRows(("t", "u"), iter(part), None)) == []
+    assert handle.calls == ["get", "update"] * 2 and handle.timers == {day // 1000 + 1}
+
+    def passed(days):
+        handle.timers.clear()
+        at = SimpleNamespace(getCurrentWatermarkInMs=lambda: days * day // 1000)
+        return [(r.token, r.event_id) for r in processor.handleExpiredTimer(("t", "u"), at, None)]
+
+    assert passed(2) == [("d1", "e7"), ("d2", "e8")] and len(handle.timers) == 1
+    assert passed(20) == [("d0", "e6")] and handle.timers == {37 * day // 1000 + 1}   # d2's newest is at day 7
+    assert passed(60) == [] and handle.value is None and not handle.timers
+
+
 def test_pointer_and_levels_of_runs(spark):
     path = scratch_path(spark, "levels")
     table = BatchTable(spark, path, "id bigint")
