@@ -4,8 +4,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from wardlight.operators import models, outliers, point_in_time
-from wardlight.session import scratch_path
+from wardlight.operators import evaluation, models, outliers, point_in_time
+from wardlight.session import materialize, scratch_path
 from wardlight.streaming import intake, runner, scoring
 
 SF = "/root/testdata/sf0.001"
@@ -167,3 +167,20 @@ def test_replay_on_another_day_and_one_id_in_two_tenants(spark, tmp_path):
     run([("t1", "evt-1", day + dt.timedelta(days=8)), ("t1", "evt-9", day)])
     stored = spark.read.parquet(str(tmp_path / "out")).select("tenant_id", "event_id").collect()
     assert sorted(map(tuple, stored)) == [("t1", "evt-1"), ("t1", "evt-9"), ("t2", "evt-9")]
+
+
+def test_report_makes_stored_predictions_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def score(i):
+        made.add(1)
+        return (i * 7 % 40) / 40
+
+    rows = spark.range(40).select(F.lit("m").alias("model"), F.when(F.col("id") % 2 == 0, "casb").otherwise("cert").alias("_source"),
+                                  (F.col("id") % 5 == 0).cast("int").alias("label"), score("id").alias("probability"))
+    rows = rows.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    plain = sorted(evaluation.model_report(rows).collect())
+    made.value = 0
+    stored = evaluation.model_report(rows, keep=lambda df, name: materialize(spark, df, name)).collect()
+    assert made.value == 40 and sorted(stored) == plain and len(plain) == 3
