@@ -9,6 +9,7 @@ Parts follow each other by number; the base of a part is the sum of the parts be
 from __future__ import annotations
 
 import gc
+import hashlib
 import re
 import uuid
 import zlib
@@ -31,6 +32,10 @@ _WORD = re.compile("[^ \t\n\v\f\r]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"   # str.split parts at these, the tokenizer has tokens for them
 _MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 _ODD = frozenset("\u03a3\u0130'<")   # lower case of these depends on what is around, or they start a contraction
+_LETTERS = "".join(chr(i) for i in range(0x180) if chr(i).islower() and chr(i) not in "\u00aa\u00ba")
+_LOWER = re.compile(f"[{_LETTERS}]+")
+# Byte-level tokenizers write these bytes as characters of their own, all others of a letter as Latin-1 does.
+_BYTES = {byte: chr(290 + byte - 128) for byte in range(128, 161)} | {173: chr(323)}
 _encoders: dict = {}
 
 
@@ -39,6 +44,10 @@ def _split(text: str) -> list[str]:
     return _WORD.findall(text) if any(mark in text for mark in _SEPARATORS) else text.split()
 
 
+def _byte_level(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_BYTES)
+
+
 @dataclass(frozen=True)
 class TokenFiles:
     """Where the parts are: rows (part, name, documents, ids, base), one per file pair."""
@@ -59,6 +68,16 @@ class _Encoder:
         special = [(i, token.content) for i, token in self.tokenizer.get_added_tokens_decoder().items()
                    if token.special and "<" in token.content]
         self.mark_id, self.mark = min(special, default=(-1, ""))
+        # A word of small letters needs the model alone where nothing before it changes or parts such letters.
+        self.direct = False
+        if self.tokenizer.pre_tokenizer:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(_LETTERS)
+            self.direct = ([piece for piece, _ in pieces] == [_byte_level(_LETTERS)] and all(
+                self._direct(word) == self.tokenizer.encode(word, add_special_tokens=False).ids
+                for word in (_LETTERS, *_LETTERS)))
+
+    def _direct(self, word: str) -> list[int]:
+        return [token.id for token in self.tokenizer.model.tokenize(_byte_level(word))]
 
     def learn(self, words: set[str]) -> None:
         """Encode new words; one that is letters and then ASCII marks is joined from its two parts.
@@ -82,7 +101,22 @@ class _Encoder:
             memo[word] = cores[core] + cores[tail] if tail else cores[core]
 
     def _encode(self, words: set[str]) -> None:
-        """Many words in one call: a special token, split off before all else, parts them."""
+        """Words of small letters go to the model; of the others many in one call: a special
+        token, split off before all else, parts them."""
+        if self.direct:
+            letters = [word for word in words if _LOWER.fullmatch(word)]
+            words = words.difference(letters)
+            tokenize, pack = self.tokenizer.model.tokenize, np.dtype(self.dtype)
+            for begin in range(0, len(letters), 2000):
+                some = letters[begin:begin + 2000]
+                ids, ends = [], []
+                for word in some:
+                    ids += [token.id for token in tokenize(word if word.isascii() else _byte_level(word))]
+                    ends.append(pack.itemsize * len(ids))
+                raw, start = np.array(ids, pack).tobytes(), 0
+                for word, stop in zip(some, ends, strict=True):
+                    self.cores[word] = raw[start:stop]
+                    start = stop
         plain = [word for word in words if self.mark and "<" not in word]
         for begin in range(0, len(plain), 2000):
             some = plain[begin:begin + 2000]
@@ -109,6 +143,19 @@ class _Encoder:
             gc.enable()
 
 
+def _encoder(json: str, dtype: str) -> _Encoder:
+    """The encoder of this Python worker, with the words it remembers from earlier tasks.
+
+    A task reaches it by this function's name: a dictionary that the task's own function
+    named would be sent along, empty for every task.
+    """
+    key = hashlib.sha256(json.encode()).digest(), dtype
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = _Encoder(json, dtype)
+    return _encoders[key]
+
+
 def _open(folder: str):
     """The file system of a folder's address and the folder's path there."""
     return pa.fs.FileSystem.from_uri(folder) if urlparse(folder).scheme else (pa.fs.LocalFileSystem(), folder)
@@ -145,9 +192,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id:
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(sent.value[:200] + dtype)
-        if encoder is None:
-            encoder = _encoders[sent.value[:200] + dtype] = _Encoder(sent.value, dtype)
+        encoder = _encoder(sent.value, dtype)
         end, part = np.array([end_id], dtype).tobytes(), TaskContext.get().partitionId()
         name, out = f"part-{part:06d}-{uuid.uuid4().hex}", None
         fs, base = _open(folder)
