@@ -286,7 +286,10 @@ def _differing(spark: SparkSession, beside: DataFrame, sets: DataFrame, similari
     with any partner (|d(x)| - r (|x| + |L|)) / 2. A node that is far, with less than ``similarity`` of its
     own elements in L, shares similarity * |x| - |x and L| elements outside L with every similar
     one, so for it these alone are looked at. Elements that only one label has meet nothing;
-    of the others a node needs those rarest ones that leave fewer than it must share. So a
+    of the others a node needs those rarest ones that leave fewer than it must share. A pair met there
+    must share, by the sizes and distances of its own two sets, (|d(x)| + |d(y)| - r (|x| + |y|)) / 2 elements, or
+    similarity / (1 + similarity) * (|x| + |y|) less what both can have in L of those outside L, and goes
+    on if the elements before, at and after those it shares leave room for that many. So a
     large group around one leader is joined on the few differences its members share, not paired off.
     """
     own = sets.select("node", "shingles")
@@ -301,16 +304,17 @@ def _differing(spark: SparkSession, beside: DataFrame, sets: DataFrame, similari
     differences = F.concat("outside", "missing")
 
     def use(kind: int, elements: Column, need: Column, marked: Column) -> Column:
-        """Elements to meet by, how many must be shared, and whether the node is marked: far (0) or linked (2)."""
+        """Elements to meet by, how many must be shared, whether the node is marked: far (0) or linked (2), and
+        how many of its elements the leader has (0), or how many set them apart."""
         return F.struct(F.lit(kind).alias("kind"), elements.alias("elements"), F.greatest(
-            F.ceil(need - 1e-9), F.lit(1)).alias("need"), marked.alias("marked"))
+            F.ceil(need - 1e-9), F.lit(1)).alias("need"), marked.alias("marked"), (apart if kind else inside).alias("w"))
 
     half, least = (apart + ratio * (size - n)) / 2, (apart - ratio * (n + size)) / 2
     uses = F.array(use(0, F.col("outside"), F.when(far, similarity * n - inside).otherwise(1.0), far),   # with a far one
                    F.when(~far & ~linked, use(1, differences, half, linked)),                     # two unlike ones
                    F.when(~far, use(2, differences, F.when(linked, half).otherwise(least), linked)))  # a linked and an unlike one
     used = placed.select("leader", "node", "label", "size", F.explode(F.filter(uses, lambda u: u.isNotNull())).alias("u"))
-    rows = store(spark, used.select("leader", "node", "label", "size", "u.kind", "u.need", "u.marked",
+    rows = store(spark, used.select("leader", "node", "label", "size", "u.kind", "u.need", "u.marked", "u.w",
                                     F.explode("u.elements").alias("element")), "near-differences")
     at = ["leader", "kind", "element"]
     common = rows.groupBy(*at).agg(
@@ -319,13 +323,22 @@ def _differing(spark: SparkSession, beside: DataFrame, sets: DataFrame, similari
     member = Window.partitionBy("leader", "kind", "node")
     kept = rows.join(common.select(*at, "c"), at).withColumn("m", F.count("*").over(member)).withColumn(
         "turn", F.row_number().over(member.orderBy("c", "element"))).filter(F.col("turn") <= F.col("m") - F.col("need") + 1)
-    kept = store(spark, kept.select(*at, "node", "label", "size", "marked"), "near-rarest")
-    other = kept.select(*at, *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "marked")])
+    columns = ["node", "label", "size", "marked", "w", "turn", "m"]
+    kept = store(spark, kept.select(*at, *columns), "near-rarest")
+    other = kept.select(*at, *[F.col(c).alias(f"{c}_b") for c in columns])
     fits = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity
     wanted = F.when(F.col("kind") == 0, F.col("marked") | F.col("marked_b")).otherwise(
         (F.col("kind") == 1) | (F.col("marked") != F.col("marked_b")))
-    met = kept.join(other, at).filter((F.col("label") < F.col("label_b")) & fits & wanted)
-    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
+    both = F.col("size") + F.col("size_b")
+    must = F.when(F.col("kind") == 0, both * (similarity / (1 + similarity)) - F.least("w", "w_b")).otherwise(
+        (F.col("w") + F.col("w_b") - both * ratio) / 2) - 1e-9
+    after = F.least(F.col("m") - F.col("turn"), F.col("m_b") - F.col("turn_b"))
+    room = F.least("turn", "turn_b") + after >= must
+    met = kept.join(other, at).filter((F.col("label") < F.col("label_b")) & fits & wanted & room)
+    # Up to the last element met a pair shares just those counted, and after it at most the shorter rest.
+    pairs = met.groupBy("leader", "kind", "node", "node_b").agg(
+        F.count("*").alias("shared"), F.min(after - F.ceil(must)).alias("spare")).filter("shared + spare >= 0")
+    return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
