@@ -276,3 +276,34 @@ def test_user_day_counts_and_scores(spark):
     assert counts.user_days_scored == stored.count() and stored.where("computed_at IS NULL").count() == 0
     assert counts.user_days_scored + counts.user_days_informational_skipped == days.count()
     assert counts.events_considered == nightly.trailing(canonical, last).count()
+
+
+def test_input_of_incremental_normalize_is_compressed(spark, tmp_path, monkeypatch):
+    """The lines that r9 writes for its stream are most of its disk; the same rows come back from them."""
+    from datetime import datetime
+
+    from verification import stream_queries
+
+    class Stop(Exception):
+        pass
+
+    tables = {
+        "events": ([(i, datetime(2024, 1, 1, i % 24), i % 5, "view", 1.5 * i, '{"k": %d}' % i) for i in range(40)],
+                   "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"),
+        "customer": ([(i, 0) for i in range(5)], "c_custkey bigint, c_nationkey int"),
+        "nation": ([(0, 0)], "n_nationkey int, n_regionkey int"), "region": ([(0, "ASIA")], "r_regionkey int, r_name string")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    seen = []
+
+    def stop(spark, source, *rest):
+        seen.append(source)
+        raise Stop
+
+    monkeypatch.setattr(stream_queries.intake, "normalize_files", stop)
+    with pytest.raises(Stop):
+        stream_queries.r9(spark, str(tmp_path))
+    files = spark.read.json(seen[0])
+    assert files.inputFiles() and all(name.endswith(".json.gz") for name in files.inputFiles())
+    # 40 events and 6 later copies; the second client lacks the 8 of k % 5 = 1 and a copy.
+    assert files.where("client_id like 'tenant%'").count() == 46 and files.where("client_id like 'b-%'").count() == 37

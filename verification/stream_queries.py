@@ -14,7 +14,7 @@ from verification.registry import query
 from verification.scalar_queries import _KEY, MESSY, messy_events
 from verification.source_queries import _KIND, siem_hits
 from verification.window_queries import TRAILING
-from wardlight.session import scratch_path
+from wardlight.session import release_shuffles, scratch_path
 from wardlight.streaming import intake, runner, scoring
 
 EV = S.ctes(S.EV)
@@ -103,7 +103,8 @@ def r9(spark, sf):
     both = lines.unionByName(other.withColumn("client_id", F.concat(F.lit("b-"), "client_id")))
     # Two batches of files that do not grow with the table; all lines of an id lie in one of them.
     files = max(4, 2 * math.ceil(table(spark, sf, "events").count() / 250_000))
-    both.repartition(files, "event_id").write.json(f"{root}/in")
+    both.repartition(files, "event_id").write.option("compression", "gzip").json(f"{root}/in")
+    release_shuffles(spark)
     intake.normalize_files(spark, f"{root}/in", f"{root}/events", f"{root}/quarantine", f"{root}/cp", files // 2)
     good = spark.read.parquet(f"{root}/events").select(F.col("client_id").alias("tenant_id"), "event_id", F.lit("accepted").alias("outcome"))
     ids = both.select(F.col("client_id").alias("tenant_id"), "event_id").distinct()

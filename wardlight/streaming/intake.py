@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardlight.functions.text import strip
 from wardlight.operators.quality import good_rows, keep_first, normalize
 from wardlight.schemas import SIEM_HIT, UNIFIED_EVENT
+from wardlight.session import release_shuffles
 from wardlight.sources.files import exists
 from wardlight.sources.siem import hit_events
 from wardlight.streaming.runner import batch_folder, read_batches, run_available, write_once
@@ -82,6 +83,7 @@ def normalize_files(spark: SparkSession, source: str, events_path: str, quaranti
         finally:
             batch.unpersist()
         index.add(spark.read.schema("client_id string, event_id string").parquet(batch_folder(events_path, batch_id)), batch_id)
+        release_shuffles(spark)
 
     return run_available(lines, write, checkpoint)
 
